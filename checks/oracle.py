@@ -122,7 +122,7 @@ STOP = ", ".join(quoted(w) for w in ENGLISH)
 TOKENS = f"""
 tokens AS MATERIALIZED (
   SELECT email_id, label,
-    list_filter(regexp_extract_all(lower(coalesce(email_text_clean, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), t -> t NOT IN ({STOP})) AS words
+    [t for t in regexp_extract_all(lower(coalesce(email_text_clean, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') if t NOT IN ({STOP})] AS words
   FROM clean
 )"""
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import missing, text
 from mailsift.operators import assemble, clusters, dedup, embed, folds, metrics, models, scale, tfidf
-from mailsift.plans import clean, cluster_report, evaluate, grid
-from mailsift.session import shared_folder
+from mailsift.plans import clean, evaluate, grid
+from mailsift.plans import cluster_report as embedding_plan
+from mailsift.session import shared_folder, write_and_read
 from mailsift.sources import embeddings as embedding_files
 from mailsift.sources import emails as email_files
 
@@ -195,8 +196,6 @@ def _tokens(spark, sf):
 
 
 def _stored_tokens(spark, sf):
-    from mailsift.session import write_and_read
-
     return write_and_read(_tokens(spark, sf).drop("email_text_clean"), "tokens")
 
 
@@ -431,7 +430,7 @@ def _small_trees(rows):
 
 @query
 def oof_logistic(spark, sf):
-    return cluster_report.cross_validated_logistic(tables.labelled_embeddings(spark, sf))
+    return embedding_plan.cross_validated_logistic(tables.labelled_embeddings(spark, sf))
 
 
 @query

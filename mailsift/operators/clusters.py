@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import side_by_side
 from .folds import class_counts
 
 BLOCK_ROWS = 8192
@@ -30,10 +32,8 @@ def kmeans_best(
     """The k-means model with the lowest cost among `restarts` seeds."""
     points = df.select(features).persist()
     try:
-        runs = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=features).fit(points)
-            for i in range(restarts)
-        ]
+        learners = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=features) for i in range(restarts)]
+        runs = side_by_side(df.sparkSession, [partial(learner.fit, points) for learner in learners])
         return min(runs, key=lambda m: m.summary.trainingCost)
     finally:
         points.unpersist()
@@ -202,10 +202,10 @@ def silhouette_rows(
             ignore_index=True,
         )
 
-    partial = tiles.groupBy("lo", "hi").applyInPandas(
+    parts = tiles.groupBy("lo", "hi").applyInPandas(
         distance_sums, "id bigint, own int, kind int, total double"
     )
-    sums = partial.groupBy("id", "own", "kind").agg(F.sum("total").alias("total"))
+    sums = parts.groupBy("id", "own", "kind").agg(F.sum("total").alias("total"))
     size_of = F.create_map(*[F.lit(int(x)) for pair in sizes.items() for x in pair])
     own_size = F.element_at(size_of, F.col("own"))
     mean_own = F.max(F.when(F.col("kind") == F.col("own"), F.try_divide(F.col("total"), own_size - 1)))

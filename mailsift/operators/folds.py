@@ -9,11 +9,13 @@ the rows themselves.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import side_by_side
+
 HEX_PER_LEVEL = 3
 MAX_CLASSES = 1000
 AFTER_ALL_KEYS = "~"
@@ -129,9 +131,10 @@ def plain_folds(df: DataFrame, k: int = 5, row_id: str = "email_id", seed: int =
     return _assign(df, row_id, seed, None, {None: [n // k + (fold < n % k) for fold in range(k)]}, "fold")
 
 
-def each_fold(df: DataFrame, k: int, run: Callable[[DataFrame, DataFrame, int], Iterable[DataFrame]]) -> list:
-    """Call `run(train, held_out, fold)` for every fold and gather what it returns."""
-    out = []
-    for fold in range(k):
-        out.extend(run(df.where(F.col("fold") != fold), df.where(F.col("fold") == fold), fold))
-    return out
+def each_fold(df: DataFrame, k: int, run: Callable[[DataFrame, DataFrame, int], object], width: int = 4) -> list:
+    """The results of `run(train, held_out, fold)` for every fold, several folds at a time."""
+
+    def job(fold: int) -> Callable:
+        return lambda: run(df.where(F.col("fold") != fold), df.where(F.col("fold") == fold), fold)
+
+    return side_by_side(df.sparkSession, [job(fold) for fold in range(k)], width)

@@ -10,7 +10,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
+from pyspark.ml.base import Transformer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -69,76 +70,112 @@ def top_terms(df: DataFrame, words: str, ngram_range: tuple[int, int], max_featu
 
 
 @dataclass(frozen=True)
-class Tfidf:
-    """A fitted vocabulary (None: hashed) with its idf values and the number of rows it was fitted on."""
+class Counter:
+    """Counts the n-grams of a row into a vector, on a vocabulary of known size."""
 
-    terms: tuple[str, ...] | None
-    idf: tuple[float, ...]
-    doc_freq: tuple[int, ...]
-    rows: int
+    model: Transformer
+    size: int
     ngram_range: tuple[int, int]
+    terms: tuple[str, ...] | None = None
 
-    def counts(self, df: DataFrame, words: str, out: str) -> DataFrame:
-        df = df.withColumn("__terms", ngrams(F.col(words), *self.ngram_range))
-        return _counter(df.sparkSession, self.terms, len(self.idf), out).transform(df).drop("__terms")
+    def transform(self, df: DataFrame, words: str = "tokens", out: str = "tf") -> DataFrame:
+        listed = df.withColumn("__terms", ngrams(F.col(words), *self.ngram_range))
+        return self.model.setOutputCol(out).transform(listed).drop("__terms")
 
-    def transform(self, df: DataFrame, words: str = "tokens", out: str = "tfidf") -> DataFrame:
-        """Add the tf-idf vector of each row, of length 1 unless no term of the vocabulary occurs."""
-        if not self.idf:
-            raise ValueError("empty vocabulary: no row has a term")
-        scaler = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="__tf", outputCol="__weighted")
+
+def limited_counter(
+    df: DataFrame, words: str = "tokens", ngram_range: tuple[int, int] = (1, 3), max_features: int = 1000
+) -> Counter:
+    """A counter on the `max_features` most frequent n-grams, in alphabetical order."""
+    terms = tuple(sorted(r["term"] for r in top_terms(df, words, ngram_range, max_features).collect()))
+    if not terms:
+        raise ValueError("empty vocabulary: no row has a term")
+    model = CountVectorizerModel.from_vocabulary(list(terms), inputCol="__terms", outputCol="tf")
+    return Counter(model, len(terms), ngram_range, terms)
+
+
+def full_counter(
+    df: DataFrame,
+    words: str = "tokens",
+    ngram_range: tuple[int, int] = (1, 2),
+    exact_terms: int = EXACT_TERMS,
+    hash_bits: int = HASH_BITS,
+) -> Counter:
+    """A counter on every n-gram of `df`.
+
+    Up to `exact_terms` of them are indexed one by one. A larger vocabulary, like the model on it, would not fit
+    the driver, so its terms share 2**hash_bits hashed indices.
+    """
+    distinct = term_counts(df, words, ngram_range).limit(exact_terms + 1).count()
+    if distinct == 0:
+        raise ValueError("empty vocabulary: no row has a term")
+    if distinct > exact_terms:
+        model = HashingTF(numFeatures=1 << hash_bits, inputCol="__terms", outputCol="tf")
+        return Counter(model, 1 << hash_bits, ngram_range)
+    listed = df.select(ngrams(F.col(words), *ngram_range).alias("__terms"))
+    model = CountVectorizer(vocabSize=distinct, minDF=1, inputCol="__terms", outputCol="tf").fit(listed)
+    return Counter(model, distinct, ngram_range)
+
+
+@dataclass(frozen=True)
+class Weighting:
+    """Smoothed idf, ln((1 + rows) / (1 + doc_freq)) + 1, as fitted on one set of count vectors.
+
+    With `drop_unseen`, terms that occur in no fitted row weigh nothing, as if they were not in the vocabulary.
+    """
+
+    rows: int
+    doc_freq: tuple[int, ...]
+    drop_unseen: bool = False
+
+    @property
+    def idf(self) -> list[float]:
+        return [
+            0.0 if self.drop_unseen and f == 0 else math.log((1 + self.rows) / (1 + f)) + 1 for f in self.doc_freq
+        ]
+
+    def transform(self, df: DataFrame, counts: str = "tf", out: str = "tfidf") -> DataFrame:
+        """Add the weights of each row, of length 1 unless no term of the vocabulary occurs."""
+        scaler = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol=counts, outputCol="__weighted")
         unit = Normalizer(p=2.0, inputCol="__weighted", outputCol=out)
-        weighted = scaler.transform(self.counts(df, words, "__tf"))
-        return unit.transform(weighted).drop("__tf", "__weighted")
+        return unit.transform(scaler.transform(df)).drop("__weighted")
+
+
+def fit_weighting(counted: DataFrame, counts: str = "tf", drop_unseen: bool = False) -> Weighting:
+    """Document frequencies in one aggregate over the count vectors."""
+    row = counted.select(Summarizer.metrics("count", "numNonZeros").summary(F.col(counts)).alias("s")).first()["s"]
+    return Weighting(row["count"], tuple(int(x) for x in row["numNonZeros"]), drop_unseen)
+
+
+@dataclass(frozen=True)
+class Tfidf:
+    """A fitted vocabulary with its weighting."""
+
+    counter: Counter
+    weighting: Weighting
+
+    def transform(self, df: DataFrame, words: str = "tokens", out: str = "tfidf") -> DataFrame:
+        counted = self.counter.transform(df, words, "__tf")
+        return self.weighting.transform(counted, "__tf", out).drop("__tf")
 
     def long_weights(self, df: DataFrame, words: str = "tokens", row_id: str = "email_id") -> DataFrame:
         """The same as a table (row_id, term, weight), one row per term that occurs."""
-        if self.terms is None:
-            raise ValueError("a hashed vocabulary has no terms to list")
         vectors = self.transform(df.select(row_id, words), words, "__v").select(
             row_id, vector_to_array("__v").alias("__w")
         )
-        names = F.array(*[F.lit(t) for t in self.terms])
+        names = F.array(*[F.lit(t) for t in self.counter.terms])
         cells = F.filter(F.arrays_zip(names.alias("term"), F.col("__w").alias("weight")), lambda x: x["weight"] != 0)
         return vectors.select(row_id, F.explode(cells).alias("__c")).select(row_id, "__c.term", "__c.weight")
 
     def table(self, spark) -> DataFrame:
         """(term, doc_freq, idf), one row per term of the vocabulary."""
-        rows = list(zip(self.terms or (), self.doc_freq, self.idf))
+        rows = list(zip(self.counter.terms, self.weighting.doc_freq, self.weighting.idf))
         return spark.createDataFrame(rows, "term string, doc_freq bigint, idf double")
 
 
-def _counter(spark, terms, size: int, out: str):
-    if terms is None:
-        return HashingTF(numFeatures=size, inputCol="__terms", outputCol=out)
-    return CountVectorizerModel.from_vocabulary(list(terms), inputCol="__terms", outputCol=out)
-
-
 def fit_tfidf(
-    df: DataFrame,
-    words: str = "tokens",
-    ngram_range: tuple[int, int] = (1, 3),
-    max_features: int | None = 1000,
-    exact_terms: int = EXACT_TERMS,
-    hash_bits: int = HASH_BITS,
+    df: DataFrame, words: str = "tokens", ngram_range: tuple[int, int] = (1, 3), max_features: int = 1000
 ) -> Tfidf:
-    """Fit vocabulary and smoothed idf, ln((1 + n) / (1 + df)) + 1, on the rows of `df`.
-
-    With `max_features=None` every term is kept. Up to `exact_terms` of them are indexed one by one; a larger
-    vocabulary would not fit the driver, so its terms share 2**hash_bits hashed indices.
-    """
-    terms: tuple[str, ...] | None
-    if max_features is None:
-        every = term_counts(df, words, ngram_range).select("term")
-        terms = tuple(sorted(r["term"] for r in every.collect())) if within(every, exact_terms) else None
-    else:
-        terms = tuple(sorted(r["term"] for r in top_terms(df, words, ngram_range, max_features).collect()))
-    if terms is not None and not terms:
-        return Tfidf((), (), (), df.count(), ngram_range)
-    size = len(terms) if terms is not None else 1 << hash_bits
-    listed = df.select(ngrams(F.col(words), *ngram_range).alias("__terms"))
-    counted = _counter(df.sparkSession, terms, size, "__tf").transform(listed)
-    row = counted.select(Summarizer.metrics("count", "numNonZeros").summary(F.col("__tf")).alias("s")).first()["s"]
-    doc_freq = tuple(int(x) for x in row["numNonZeros"])
-    idf = tuple(math.log((1 + row["count"]) / (1 + f)) + 1 for f in doc_freq)
-    return Tfidf(terms, idf, doc_freq, row["count"], ngram_range)
+    """Vocabulary and idf from the rows of `df`."""
+    counter = limited_counter(df, words, ngram_range, max_features)
+    return Tfidf(counter, fit_weighting(counter.transform(df.select(words), words)))

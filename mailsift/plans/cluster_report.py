@@ -60,7 +60,7 @@ def cross_validated_logistic(
         model = models.logistic(fit_on.count(), max_iter, weight="weight")
         scored = models.fit_and_score(model, fit_on, test, [row_id, "label"])
         fit_on.unpersist()
-        return [scored.withColumn("fold", F.lit(fold))]
+        return scored.withColumn("fold", F.lit(fold))
 
     return reduce(DataFrame.unionByName, folds.each_fold(folded, k, run))
 

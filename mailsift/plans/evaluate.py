@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import chain
 
 from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ def base_features(
     return write_and_read(df, "features") if stored else df
 
 
-def prepared(train: DataFrame, held_out: DataFrame, feature_sets: Sequence[str], max_features: int | None = 1000):
+def prepared(train: DataFrame, held_out: DataFrame, feature_sets: Sequence[str], max_features: int = 1000):
     """Train and held-out rows with the blocks of all wanted feature sets, fitted on `train` alone.
 
     The tf-idf fit is shared by the feature sets that use it.
@@ -73,7 +74,7 @@ def out_of_fold(
     feature_sets: Sequence[str] = assemble.FEATURE_SETS,
     k: int = 5,
     seed: int = 42,
-    max_features: int | None = 1000,
+    max_features: int = 1000,
     make_classifier: MakeClassifier = default_classifier,
 ) -> DataFrame:
     """(email_id, label, prob, feature_set, fold): every row scored once per feature set, by the model of the
@@ -83,7 +84,7 @@ def out_of_fold(
     def run(train, held_out, fold):
         return _scores(train, held_out, feature_sets, max_features, make_classifier, {"fold": fold})
 
-    return reduce(DataFrame.unionByName, folds.each_fold(folded, k, run))
+    return reduce(DataFrame.unionByName, chain.from_iterable(folds.each_fold(folded, k, run)))
 
 
 def held_out(
@@ -91,7 +92,7 @@ def held_out(
     feature_sets: Sequence[str] = assemble.FEATURE_SETS,
     test_share: float = 0.2,
     seed: int = 42,
-    max_features: int | None = 1000,
+    max_features: int = 1000,
     make_classifier: MakeClassifier = default_classifier,
 ) -> DataFrame:
     """(email_id, label, prob, feature_set) of the test rows, scored by models of all training rows."""
@@ -106,7 +107,7 @@ def train_test_evaluation(
     k: int = 5,
     test_share: float = 0.2,
     seed: int = 42,
-    max_features: int | None = 1000,
+    max_features: int = 1000,
     make_classifier: MakeClassifier = default_classifier,
 ) -> DataFrame:
     """One metric row per feature set and evaluation set: cross-validation on the training part, then the

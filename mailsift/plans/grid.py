@@ -21,29 +21,31 @@ def fold_accuracy(
     k: int = 5,
     seed: int = 42,
     stop_words: Sequence[str] | None = tfidf.ENGLISH,
-    max_features: int | None = None,
     max_iter: int = 100,
 ) -> DataFrame:
-    """(ngram_range, fold, n, accuracy): vocabulary and model refitted in every fold, every term kept."""
+    """(ngram_range, fold, n, accuracy) with every n-gram kept and the model refitted in every fold.
+
+    The n-grams are counted once per range. A fold's vocabulary is the set of n-grams in its training rows, so
+    weighing all others with zero gives what refitting it would give.
+    """
     base = emails.where(F.col("label").isNotNull()).select("email_id", F.col("label").cast("int"), text)
     base = write_and_read(tfidf.with_tokens(base, text, stop_words).drop(text), "tokens")
     folded = folds.plain_folds(base, k, seed=seed)
     found = []
-
-    def run(train, held_out, fold):
-        for low, high in ranges:
-            fitted = tfidf.fit_tfidf(train, "tokens", (low, high), max_features)
-            fit_on = fitted.transform(train, out="features").select("label", "features").persist()
-            model = models.logistic(fit_on.count(), max_iter)
-            scored = models.fit_and_score(model, fit_on, fitted.transform(held_out, out="features"), ["label"])
-            # the model is fitted; one small row per candidate comes back
-            right = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(models.predicted() == F.col("label")).alias("r"))
-            n, r = right.first()
-            fit_on.unpersist()
-            found.append((f"{low}-{high}", fold, n, r / n))
-        return []
-
-    folds.each_fold(folded, k, run)
+    for low, high in ranges:
+        counter = tfidf.full_counter(folded, "tokens", (low, high))
+        counted = counter.transform(folded).drop("tokens").persist()
+
+        def run(train, held_out, fold):
+            weighting = tfidf.fit_weighting(train, drop_unseen=True)
+            fit_on, test = (weighting.transform(part, out="features") for part in (train, held_out))
+            scored = models.fit_and_score(models.logistic(weighting.rows, max_iter), fit_on, test, ["label"])
+            # one small row per candidate and fold comes back
+            row = scored.agg(F.count(F.lit(1)), F.count_if(models.predicted() == F.col("label"))).first()
+            return fold, row[0], row[1] / row[0]
+
+        found += [(f"{low}-{high}", *result) for result in folds.each_fold(counted, k, run)]
+        counted.unpersist()
     return emails.sparkSession.createDataFrame(found, "ngram_range string, fold int, n bigint, accuracy double")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +79,12 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
+
+
+def side_by_side(spark: SparkSession, jobs: Iterable[Callable], width: int = 4) -> list:
+    """Results of independent Spark jobs, submitted from a few threads so that small ones share the cluster."""
+    pool = ThreadPool(width)
+    try:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs], chunksize=1)
+    finally:
+        pool.close()
