@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.session import broadcast_within, spread
+from mailsift.session import spread
 
 HOST = r"https?://([^/]+)"
 
@@ -17,16 +17,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def emails(spark: SparkSession, sf: str) -> DataFrame:
     """documents as emails: senders from pages, dates from events, labels from labels.
 
-    All pages that can match have an id below 400, so that side stays small however many pages there are.
+    Only page ids below 400 can match and each is one group, so the broadcast side has at most 400 rows.
     """
     d = spread(table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars"))
-    p = table(spark, sf, "pages").where("page_id BETWEEN 0 AND 399").select(
-        "page_id", F.regexp_extract("url", HOST, 1).alias("host")
+    p = (
+        table(spark, sf, "pages")
+        .where("page_id BETWEEN 0 AND 399")
+        .groupBy("page_id")
+        .agg(F.min(F.regexp_extract("url", HOST, 1)).alias("host"))
     )
     e = table(spark, sf, "events").select("event_id", "ts")
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
     joined = (
-        d.join(broadcast_within(p, 10_000), F.col("page_id") == F.col("doc_id") % 400, "left")
+        d.join(F.broadcast(p), F.col("page_id") == F.col("doc_id") % 400, "left")
         .join(e, F.col("event_id") == F.col("doc_id"), "left")
         .join(lab, F.col("label_id") == F.col("doc_id"), "left")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,7 +86,7 @@ def python_unescape() -> Callable[[Column], Column]:
     The worker function is local so that it travels to executors by value.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: pd.Series) -> pd.Series:
         import html
         import re
         import unicodedata
@@ -95,35 +95,30 @@ def python_unescape() -> Callable[[Column], Column]:
         quote = re.compile(r"""\\(["'])""")
 
         def one(text):
-            if text is None:
-                return None
             text = quote.sub(r"\1", blank.sub(" ", html.unescape(text)))
             return unicodedata.normalize("NFKC", text)
 
-        for batch in batches:
-            yield batch.map(one, na_action="ignore")
+        return texts.map(one, na_action="ignore")
 
-    # functions under postponed annotations still resolve: pandas_udf reads the type hints
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    # pandas_udf reads the hints, which postponed annotations would leave as text
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")
 
 
-def _unescaped_natively(text: Column) -> Column:
-    """The same steps on a row without entities whose characters NFKC leaves alone.
+# Escaped characters as literal text, and what they become.
+ESCAPED = [("\\n", " "), ("\\r", " "), ("\\t", " "), ('\\"', '"'), ("\\'", "'")]
 
-    Real line breaks and tabs need no step of their own: the whitespace collapse further on takes them.
-    """
-    for letter in "nrt":
-        text = F.replace(text, F.lit("\\" + letter), F.lit(" "))
-    for mark in "\"'":
-        text = F.replace(text, F.lit("\\" + mark), F.lit(mark))
-    return text
 
+def _replace_all(column: str, pairs: list[tuple[str, str]]) -> Column:
+    """The replacements one after another, as one SQL expression."""
+
+    def literal(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    sql = f"`{column}`"
     for bad, good in pairs:
-        text = F.replace(text, F.lit(bad), F.lit(good))
-    return text
+        sql = f"replace({sql}, {literal(bad)}, {literal(good)})"
+    return F.expr(sql)
 
 
 def clean_text(df: DataFrame, columns: dict[str, str], mojibake: str = "as_listed") -> DataFrame:
@@ -145,19 +140,22 @@ def clean_text(df: DataFrame, columns: dict[str, str], mojibake: str = "as_liste
     df = df.withColumns({raw[o]: F.nullif(from_sentinel(F.col(c)), F.lit("")) for c, o in columns.items()})
     if mojibake == "longest_first":
         pairs = sorted(MOJIBAKE, key=lambda pair: -len(pair[0]))
-        df = df.withColumns({raw[o]: _repaired(F.col(raw[o]), pairs) for o in outs})
+        df = df.withColumns({raw[o]: _repaired(raw[o], pairs) for o in outs})
+    # A row without entities whose characters NFKC leaves alone stays in the JVM: its escapes are replaced there,
+    # and its real line breaks and tabs go with the whitespace collapse at the end.
     df = df.withColumns({step[o]: F.when(F.col(raw[o]).rlike(NEEDS_PYTHON), F.col(raw[o])) for o in outs})
     df = df.withColumns(
-        {step[o]: F.coalesce(unescape(F.col(step[o])), _unescaped_natively(F.col(raw[o]))) for o in outs}
+        {step[o]: F.coalesce(unescape(F.col(step[o])), _replace_all(raw[o], ESCAPED)) for o in outs}
     )
     if mojibake == "as_listed":
-        df = df.withColumns({step[o]: _repaired(F.col(step[o]), MOJIBAKE) for o in outs})
+        df = df.withColumns({step[o]: _repaired(step[o], MOJIBAKE) for o in outs})
     df = df.withColumns({step[o]: _finished(F.col(step[o])) for o in outs})
     return df.select(*[c for c in kept if c not in raw], *[F.col(step[o]).alias(o) for o in outs])
 
 
-def _repaired(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    return F.when(text.rlike("[âÃÂ]"), _replace_all(text, pairs)).otherwise(text)
+def _repaired(column: str, pairs: list[tuple[str, str]]) -> Column:
+    text = F.col(column)
+    return F.when(text.rlike("[âÃÂ]"), _replace_all(column, pairs)).otherwise(text)
 
 
 def _finished(text: Column) -> Column:

@@ -15,27 +15,21 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Elementwis
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import ngrams, tokens
 from ..functions.stopwords import ENGLISH
-from ..session import within
 
 # beyond this many terms an unlimited vocabulary is indexed by hash instead of by a list on the driver
 EXACT_TERMS = 1_000_000
 HASH_BITS = 22
-PRUNING_WORDS = 20_000
 
 
 def with_tokens(df: DataFrame, text: str, stop_words: Sequence[str] | None = ENGLISH, out: str = "tokens") -> DataFrame:
     return df.withColumn(out, tokens(F.col(text), stop_words))
 
 
-def with_terms(df: DataFrame, words: str, ngram_range: tuple[int, int], out: str = "terms") -> DataFrame:
-    return df.withColumn(out, ngrams(F.col(words), *ngram_range))
-
-
 def term_counts(df: DataFrame, words: str, ngram_range: tuple[int, int]) -> DataFrame:
     """Occurrences of every n-gram in all rows: (term, term_count)."""
     terms = df.select(F.explode(ngrams(F.col(words), *ngram_range)).alias("term"))
@@ -52,21 +46,21 @@ def top_terms(df: DataFrame, words: str, ngram_range: tuple[int, int], max_featu
     """
     best = [F.desc("term_count"), F.asc("term")]
     low, high = ngram_range
-    if low > 1 or high == 1:
-        return term_counts(df, words, ngram_range).orderBy(*best).limit(max_features)
-    singles = term_counts(df, words, (1, 1))
-    lead = singles.orderBy(*best).limit(max_features)
-    rows = lead.collect()
-    if len(rows) < max_features:
-        return term_counts(df, words, ngram_range).orderBy(*best).limit(max_features)
-    floor = rows[-1]["term_count"]
-    frequent = singles.where(F.col("term_count") >= floor)
-    if not within(frequent, PRUNING_WORDS):
-        return term_counts(df, words, ngram_range).orderBy(*best).limit(max_features)
-    listed = [r["term"] for r in frequent.select("term").collect()]
-    masked = df.select(F.transform(F.col(words), lambda w: F.when(w.isin(listed), w)).alias("__masked"))
-    longer = term_counts(masked, "__masked", (2, high)).where(F.col("term_count") >= floor)
-    return lead.unionByName(longer).orderBy(*best).limit(max_features)
+    if low == 1 < high:
+        singles = term_counts(df, words, (1, 1)).orderBy(*best).limit(2 * max_features + 1).collect()
+        floor = singles[max_features - 1]["term_count"] if len(singles) >= max_features else 0
+        frequent = [r["term"] for r in singles if r["term_count"] >= floor]
+        if floor and len(frequent) <= 2 * max_features:
+            longer = term_counts(df.select(only_words(words, frequent).alias("__masked")), "__masked", (2, high))
+            lead = df.sparkSession.createDataFrame(singles[:max_features], "term string, term_count bigint")
+            return lead.unionByName(longer.where(F.col("term_count") >= floor)).orderBy(*best).limit(max_features)
+    return term_counts(df, words, ngram_range).orderBy(*best).limit(max_features)
+
+
+def only_words(words: str, kept: Sequence[str]) -> Column:
+    """The words with NULL in place of all but the `kept` ones, so that n-grams over a gap are NULL."""
+    literals = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in kept)
+    return F.expr(f"transform(`{words}`, w -> CASE WHEN w IN ({literals}) THEN w END)")
 
 
 @dataclass(frozen=True)
@@ -79,7 +73,14 @@ class Counter:
     terms: tuple[str, ...] | None = None
 
     def transform(self, df: DataFrame, words: str = "tokens", out: str = "tf") -> DataFrame:
-        listed = df.withColumn("__terms", ngrams(F.col(words), *self.ngram_range))
+        if self.terms is None:
+            listed = df.withColumn("__terms", ngrams(F.col(words), *self.ngram_range))
+        else:
+            # words that are in no term leave a gap, which saves building most of the n-grams
+            known = sorted({word for term in self.terms for word in term.split(" ")})
+            masked = df.withColumn("__masked", only_words(words, known))
+            terms = F.array_compact(ngrams(F.col("__masked"), *self.ngram_range))
+            listed = masked.withColumn("__terms", terms).drop("__masked")
         return self.model.setOutputCol(out).transform(listed).drop("__terms")
 
 

@@ -67,11 +67,6 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only for a side counted to be small; Spark chooses the join otherwise."""
-    return F.broadcast(df) if within(df, rows) else df
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a file scan that has fewer splits than the cluster has cores, as text work is CPU-bound.
 
