@@ -44,11 +44,20 @@ NOISE = "[SYMBOL_NOISE]"
 # Text made only of these characters is left alone by NFKC: none of them decomposes, and none combines with a
 # neighbour. ASCII, Latin letters up to U+0131, Cyrillic letters, dashes and quotes without a compatibility form,
 # kana and common ideographs. A unit test compares the class with Python's tables.
-NFKC_INERT = (
-    r"\x00-\x7f\xc0-\u0131\u0400-\u045f\u2010\u2012-\u2016\u2018-\u2023"
+NFKC_INERT_BEYOND_ASCII = (
+    r"\xc0-\u0131\u0400-\u045f\u2010\u2012-\u2016\u2018-\u2023"
     r"\u3001-\u3029\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fa5"
 )
-NEEDS_PYTHON = rf"[^{NFKC_INERT}]|&[#A-Za-z]"
+
+
+def needs_python(text: Column) -> Column:
+    """Whether a text may hold an HTML entity or a character that NFKC changes.
+
+    The cheap tests come first: most text is ASCII without "&", and in the rest most characters are.
+    """
+    foreign = text.rlike(rf"[\x80-\x{{10ffff}}&&[^{NFKC_INERT_BEYOND_ASCII}]]")
+    entity = text.rlike("&[#A-Za-z]")
+    return ((F.octet_length(text) > F.length(text)) & foreign) | (F.contains(text, F.lit("&")) & entity)
 
 
 def capital_share(text: Column) -> Column:
@@ -143,7 +152,7 @@ def clean_text(df: DataFrame, columns: dict[str, str], mojibake: str = "as_liste
         df = df.withColumns({raw[o]: _repaired(raw[o], pairs) for o in outs})
     # A row without entities whose characters NFKC leaves alone stays in the JVM: its escapes are replaced there,
     # and its real line breaks and tabs go with the whitespace collapse at the end.
-    df = df.withColumns({step[o]: F.when(F.col(raw[o]).rlike(NEEDS_PYTHON), F.col(raw[o])) for o in outs})
+    df = df.withColumns({step[o]: F.when(needs_python(F.col(raw[o])), F.col(raw[o])) for o in outs})
     df = df.withColumns(
         {step[o]: F.coalesce(unescape(F.col(step[o])), _replace_all(raw[o], ESCAPED)) for o in outs}
     )
