@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import WORD
+from .chars import by_script
 from .stopwords import ENGLISH
 
 
 def tokens(text: Column, stop_words: Sequence[str] | None = ENGLISH) -> Column:
     """Lower-case runs of two or more word characters, stop words removed; empty for missing text."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    found = by_script(lowered, lambda kind: F.regexp_extract_all(lowered, F.lit(f"{kind.word}{{2,}}"), F.lit(0)))
     if not stop_words:
         return found
     listed = list(stop_words)

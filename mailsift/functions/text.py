@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chars import SYMBOL, WS, count_chars, strip
+from .chars import Classes, by_script, count_chars, strip
 from .missing import blank_sentinel, from_sentinel
 
 # Repairs of text decoded in the wrong charset, applied one after another in this order.
@@ -62,12 +62,15 @@ def needs_python(text: Column) -> Column:
 
 def capital_share(text: Column) -> Column:
     """Upper-case letters per character; 0 for empty text."""
-    return F.coalesce(count_chars(text, r"\p{IsUppercase}") / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+    capitals = by_script(text, lambda kind: count_chars(text, kind.upper))
+    return F.coalesce(capitals / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
 def word_count(text: Column) -> Column:
     """Number of runs of non-blank characters."""
-    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
+    bare = strip(text)
+    words = by_script(text, lambda kind: F.size(F.split(bare, f"{kind.blank}+")))
+    return F.when(bare == "", F.lit(0)).otherwise(words)
 
 
 def joined(subject: Column, body: Column) -> Column:
@@ -76,7 +79,7 @@ def joined(subject: Column, body: Column) -> Column:
 
 
 def symbol_count(text: Column) -> Column:
-    return count_chars(text, SYMBOL)
+    return by_script(text, lambda kind: count_chars(text, kind.symbol))
 
 
 def symbol_ratio(symbols: Column, total: Column) -> Column:
@@ -85,7 +88,7 @@ def symbol_ratio(symbols: Column, total: Column) -> Column:
 
 def repeated_symbol_runs(text: Column) -> Column:
     """Runs in which one symbol stands at least three times in a row."""
-    return F.regexp_count(text, F.lit(rf"({SYMBOL})\1{{2,}}"))
+    return by_script(text, lambda kind: F.regexp_count(text, F.lit(rf"({kind.symbol})\1{{2,}}")))
 
 
 def python_unescape() -> Callable[[Column], Column]:
@@ -169,6 +172,10 @@ def _repaired(column: str, pairs: list[tuple[str, str]]) -> Column:
 
 def _finished(text: Column) -> Column:
     """Symbol noise, whitespace, case; the marker keeps its capitals. Empty text is missing."""
-    text = F.regexp_replace(text, F.lit(f"(?:{SYMBOL}){{4,}}"), F.lit(f" {NOISE} "))
-    text = F.lower(strip(F.regexp_replace(text, F.lit(f"[{WS}]+"), F.lit(" "))))
-    return F.nullif(F.replace(text, F.lit(NOISE.lower()), F.lit(NOISE)), F.lit(""))
+
+    def spaced(kind: Classes) -> Column:
+        marked = F.regexp_replace(text, F.lit(f"{kind.symbol}{{4,}}"), F.lit(f" {NOISE} "))
+        return F.regexp_replace(marked, F.lit(f"{kind.blank}+"), F.lit(" "))
+
+    cleaned = F.lower(F.btrim(by_script(text, spaced)))
+    return F.nullif(F.replace(cleaned, F.lit(NOISE.lower()), F.lit(NOISE)), F.lit(""))
