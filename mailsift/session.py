@@ -62,11 +62,6 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def within(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has at most `rows` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a file scan that has fewer splits than the cluster has cores, as text work is CPU-bound.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailsift.functions.missing import strict_label
 from mailsift.operators import clusters, models
 from mailsift.plans import clean, cluster_report, evaluate, grid
-from mailsift.session import spread, within
+from mailsift.session import spread
 from mailsift.sources import embeddings as embedding_files
 from mailsift.sources import emails as email_files
 
@@ -140,9 +140,7 @@ def test_clustered_rows(spark):
     assert len(model.clusterCenters()) == 2 and len(projection.explained) == 2
 
 
-def test_session_helpers(spark):
-    df = spark.range(5)
-    assert within(df, 5) and not within(df, 4)
+def test_spread(spark):
     assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
