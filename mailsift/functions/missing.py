@@ -34,11 +34,11 @@ def blank_sentinel(text: Column) -> Column:
 def number_or_zero(value: Column) -> Column:
     """Numeric coercion: what does not read as a number becomes 0.
 
-    Java also reads a type suffix ("1d", "2f") as part of a number; such text is not a number here.
+    Java also reads a type suffix ("1d", "2f") and hexadecimal ("0x1p3"); such text is not a number here.
     """
     text = value.cast("string")
-    suffixed = text.rlike(rf"[0-9.][dDfF][{WS}]*$")
-    number = F.when(~suffixed, text.try_cast("double"))
+    java_only = text.rlike(rf"[0-9.][dDfF][{WS}]*$|[xX]")
+    number = F.when(~java_only, text.try_cast("double"))
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 

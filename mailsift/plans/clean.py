@@ -9,6 +9,7 @@ from ..functions import dates, missing, sender, text
 from ..operators.dedup import dedup_keep_first
 from ..operators.lookup import flag_members
 
+INPUT_COLUMNS = ["email_id", "sender", "date", "subject", "body", "label", "urls"]
 # The exported columns, in their order.
 EXPORT_COLUMNS = [
     "subject_clean",
@@ -101,7 +102,9 @@ def clean_emails(
     One shuffle, for the duplicates; everything after it is row by row next to two lookup joins.
     `sentinel=True` writes missing text as "NaN" instead of NULL.
     """
-    df = dedup_keep_first(emails.drop("receiver"), ["subject", "body"])
+    # columns that are not needed, such as the receiver, stay out of the shuffle
+    used = emails.select(*[c for c in INPUT_COLUMNS if c in emails.columns])
+    df = dedup_keep_first(used, ["subject", "body"])
     df = with_known_domains(with_sender_parts(df), top_domains, fortune_domains)
     df = with_clean_text(with_date_features(with_text_stats(df)), mojibake)
     df = missing.with_default(df, "urls", missing.SENTINEL if sentinel else None)

@@ -157,8 +157,8 @@ def test_dates_do_not_depend_on_the_session_zone(spark, zone):
 def test_missing_values(spark):
     assert one_column(spark, ["NaN", "", "a NaN", None], missing.blank_sentinel) == ["", "", "a NaN", ""]
     assert one_column(spark, ["NaN", "", "x", None], missing.to_sentinel) == ["NaN", "NaN", "x", "NaN"]
-    given = ["1.5", " 2 ", "1e3", "x", "", "1d", "2F", "NaN", None, "-3"]
-    assert one_column(spark, given, missing.number_or_zero) == [1.5, 2.0, 1000.0, 0, 0, 0, 0, 0, 0, -3.0]
+    given = ["1.5", " 2 ", "1e3", "x", "", "1d", "2F", "NaN", None, "-3", "0x1p3"]
+    assert one_column(spark, given, missing.number_or_zero) == [1.5, 2.0, 1000.0, 0, 0, 0, 0, 0, 0, -3.0, 0]
 
 
 def test_bad_label_raises(spark):
