@@ -20,7 +20,8 @@ from mailsift.session import write_and_read
 #: Quantiles that are asked for, and sampled rows for each of them.
 RANGES = 255
 SAMPLE = 64
-#: Rows of a range, beyond which it is subdivided.
+#: A range with more rows than this many times the average is subdivided, and any with more rows than FULL.
+OVERFULL = 2
 FULL = 100_000
 LARGEST = (1 << 63) - 1
 
@@ -73,6 +74,7 @@ def shards(docs: DataFrame, n: int = 16, full: int = FULL, carry: bool = False)
     rows, sizes = ([0] * (len(begins) + 1) for _ in range(2))
     for r in found:
         rows[r["number"]], sizes[r["number"]] = r["rows"], r["bytes"]
+    full = min(full, max(1, OVERFULL * sum(rows) // RANGES))
     parts = F.lit([max(1, -(-r // full)) for r in rows])
     low = [-LARGEST - 1, *begins]
     width = [float(b - a) for a, b in zip(low, [*begins, LARGEST], strict=True)]
