@@ -67,18 +67,18 @@ def shingle_sets(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.nda
             whole = whole * np.uint64(common.BASE) + hashes[first[short] + i]
         values.append(common.mixed(whole + np.uint64(k)))
         docs.append(short)
-    values, docs = np.concatenate(values), np.concatenate(docs)
+    values, docs = np.concatenate(values).view(np.int64), np.concatenate(docs)
     order = np.lexsort((values, docs))
     values, docs = values[order], docs[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])
     values, docs = values[new], docs[new]
     starts = np.searchsorted(docs, np.arange(n + 1))
-    turned = common.mixed(values ^ np.uint64(0x5851F42D4C957F2D))
+    turned = common.mixed(values.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(turned, out=total[1:])
     ids = common.mixed(total[starts[1:]] - total[starts[:-1]] + np.diff(starts).astype(np.uint64))
-    return values.view(np.int64), starts, ids.view(np.int64)
+    return values, starts, ids.view(np.int64)
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -203,19 +203,21 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(take, "shingle long, class long, n long")
 
 
-def divide_skip(query: list[int], sets: list[np.ndarray], percent: int) -> list[bool]:
+def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
     """Which of `sets` link with the query, by T-occurrence search over inverted lists of their common shingles."""
     out = [False] * len(sets)
-    if not sets or not query:
+    if not sets or not len(query):
         return out
     shingles = np.concatenate(sets)
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     place = np.searchsorted(query, shingles)
     place[place == len(query)] = 0
-    hit = np.asarray(query)[place] == shingles
+    hit = query[place] == shingles
     order = np.lexsort((member[hit], place[hit]))
     of, ids = place[hit][order], member[hit][order]
-    cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
+    if not len(of):
+        return out
+    cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     lists = sorted((ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(of)], strict=True)), key=len)
     threshold = int(needed(len(query), percent))
     if len(lists) < threshold:
