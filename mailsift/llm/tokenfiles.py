@@ -154,7 +154,8 @@ class Encoder:
         cut[1:-1] = blank[1:] & ~blank[:-1]
         cut[offsets] = True
         at = np.flatnonzero(cut)
-        pieces = common.strings(np.ascontiguousarray(data), np.diff(at)).dictionary_encode()
+        # strings over the same bytes, without a copy
+        pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         place = self.places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
         starts = np.array(self.starts)
         first, n = starts[place], starts[place + 1] - starts[place]
