@@ -118,6 +118,16 @@ def unpacked(data: bytes) -> tuple[pa.Array, Boundaries, np.ndarray]:
     return numbers, Boundaries(n, low, upper, directory, lower), take(f"<u{width}", n_ids)
 
 
+def after_wide_blank(data: np.ndarray) -> np.ndarray:
+    """For each byte but the first, whether it may follow a blank beyond the ASCII ones: U+001C to U+001F, U+0085, U+00A0,
+    and all characters that begin as U+1680, U+2000, U+2040 and U+3000 do."""
+    last = data[:-1]
+    before, first = (np.concatenate([np.zeros(k, np.uint8), last])[: len(last)] for k in (1, 2))
+    two = (before == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    three = ((first == 0xE2) & ((before == 0x80) | (before == 0x81))) | ((first == 0xE1) & (before == 0x9A)) | ((first == 0xE3) & (before == 0x80))
+    return two | three | ((last >= 0x1C) & (last <= 0x1F))
+
+
 class Encoder:
     """Ids of whole texts. Every distinct piece of text is encoded once and remembered.
 
@@ -151,7 +161,7 @@ class Encoder:
         data, offsets = common.text_bytes(texts)
         blank = common.SPACE[data]
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = blank[1:] & ~blank[:-1]
+        cut[1:-1] = blank[1:] & ~blank[:-1] & ~after_wide_blank(data)
         cut[offsets] = True
         at = np.flatnonzero(cut)
         # strings over the same bytes, without a copy
@@ -209,7 +219,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, wide: bool = False
             yield finish()
 
     ordered = docs.select("doc_id", common.whole().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(write, "part int, file int, path string, n_docs long, n_ids long")
+    manifest = ordered.mapInArrow(write, "part long, file long, path string, n_docs long, n_ids long")
     return write_and_read(manifest, "token-manifest")
 
 
