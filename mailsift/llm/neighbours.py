@@ -8,10 +8,10 @@ classes, the sets that differ; texts with equal sets meet in their class without
    s - T of them are the class's own, no partner exists. Most of a corpus ends here, and only hashes have been shuffled.
 2. The rest, with whole sets, takes part in the search. Its shingles are ordered from rare to frequent (frequent ones by a
    bounded table of counts; any order is exact), and any two linked classes share one of their first s - T + 1 in it.
-3. Within the inverted list of each such shingle, every class is first tried against the list's first class only. Once these
-   links are joined to components, lists whose classes are all in one component hold nothing new; in the others, pairs
-   across components are tried as well. So groups of thousands of near copies cost about a trial a member, and no link
-   between components is missed.
+3. Within the inverted list of each such shingle, every class is first tried against one class of the list only. Once these
+   links are joined to components, lists whose classes are all in one component hold nothing new. After a few such rounds,
+   all pairs across components are tried in the lists that are left. So groups of thousands of near copies cost about a
+   trial a member, and no link between components is missed.
 4. A trial is a T-occurrence search: for a query class and the classes it meets, the inverted lists of the query's shingles
    are split by length, the short ones merged by a heap, and the long ones probed by binary search (DivideSkip).
 """
@@ -40,6 +40,8 @@ FREQUENT = 1 << 17
 GATHERED = 2_000_000
 #: Classes that one search takes beside its query.
 MEMBERS = 500
+#: Rounds in which lists are tried against one of their classes, before all pairs across components.
+STARS = 2
 
 
 def needed(n: np.ndarray | int, percent: int = PERCENT):
@@ -87,21 +89,15 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, spare + 1 + (spare + 1) // 2)
 
 
-def sketched(percent: int):
-    """For a task: (doc_id, n, class) of each row, and the postings of its classes.
+def posted(percent: int):
+    """For a task: the postings of its classes, as rows (class, shingle, n).
 
-    Rows of kind 0 are documents. Kind 1 is a posting (class, shingle) whose shingle is in one class of this task. A shingle
-    that is in several of them is emitted once, with class NULL, and counted for its classes at once: kind 2 has (class,
-    number). So a shingle or a copy that is everywhere sends a few rows per task.
+    With n = 0 it is a posting whose shingle is in one class of this task. A shingle that is in several of them is emitted
+    once, with class NULL, and counted for its classes at once: rows with n > 0 have the number of such shingles of a class.
+    So a shingle or a copy that is everywhere sends a few rows per task.
     """
 
-    def emit(kind: int, **columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        null = lambda: pa.nulls(n, pa.int64())
-        arrays = [pa.array(np.full(n, kind, np.int32)), *(columns.get(c) if columns.get(c) is not None else null() for c in ("doc_id", "class", "n", "shingle"))]
-        return pa.RecordBatch.from_arrays(arrays, ["kind", "doc_id", "class", "n", "shingle"])
-
-    def postings(shingles: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def combined(shingles: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         shingle, cls = np.concatenate(shingles), np.concatenate(classes)
         order = np.argsort(shingle)
         shingle, cls = shingle[order], cls[order]
@@ -109,18 +105,17 @@ def sketched(percent: int):
         shared = np.append(False, same) | np.append(same, False)
         first = shared & ~np.append(False, same)
         owners, counts = np.unique(cls[shared], return_counts=True)
-        for a in range(0, len(cls), 100_000):
-            own = ~shared[a : a + 100_000]
-            yield emit(1, **{"class": pa.array(cls[a : a + 100_000][own]), "shingle": pa.array(shingle[a : a + 100_000][own])})
-        yield emit(1, shingle=pa.array(shingle[first]))
-        yield emit(2, **{"class": pa.array(owners), "n": pa.array(counts)})
+        own = np.flatnonzero(~shared)
+        parts = [(cls[own[a : a + 100_000]], shingle[own[a : a + 100_000]], 0) for a in range(0, len(own), 100_000)]
+        for c, s, n in [*parts, (None, shingle[first], 0), (owners, owners, counts)]:
+            c = pa.nulls(len(s), pa.int64()) if c is None else pa.array(c)
+            yield pa.RecordBatch.from_arrays([c, pa.array(s), pa.array(np.broadcast_to(n, len(s)).astype(np.int64))], ["class", "shingle", "n"])
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, shingles, classes, held = set(), [], [], 0
         for rows in common.gathered(batches):
             values, starts, ids = shingle_sets(rows["text"])
             n = np.diff(starts)
-            yield emit(0, doc_id=rows["doc_id"].combine_chunks(), n=pa.array(n), **{"class": pa.array(ids)})
             new = np.zeros(len(n), bool)
             for k in np.flatnonzero(n).tolist():
                 if (c := int(ids[k])) not in seen:
@@ -132,27 +127,39 @@ def sketched(percent: int):
             classes.append(np.repeat(ids, take))
             held += len(at)
             if held > GATHERED:
-                yield from postings(shingles, classes)
+                yield from combined(shingles, classes)
                 shingles, classes, held, seen = [], [], 0, set()
         if held:
-            yield from postings(shingles, classes)
+            yield from combined(shingles, classes)
 
-    return sketch
+    return post
 
 
-def possible(sketch: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Classes (class, n) that may have a partner. A class met in several tasks may be counted more than once, which keeps
-    it needlessly at worst."""
-    posted = sketch.where("kind = 1").select("shingle", "class").repartition("shingle")
+def possible(docs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Classes (class, n, doc_id) that may have a partner. A class met in several tasks may be counted more than once, which
+    keeps it needlessly at worst."""
+    # both uses below read the same columns, so that this is shuffled once
+    postings = docs.select("text").mapInArrow(posted(percent), "class long, shingle long, n long").repartition("shingle")
+    named = F.when(F.col("n") == 0, F.col("class"))
+    met = postings.groupBy("shingle").agg(F.min(named).alias("low"), F.max(named).alias("high"), F.count_if(F.col("n") == 0).alias("rows"), F.count(named).alias("named"))
     # a shingle of several classes: two of them here, or one marked so by its task
-    held = posted.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows"), F.count("class").alias("named"))
-    held = held.where("low <> high OR rows > named").select("shingle")
-    shared = posted.where("class IS NOT NULL").join(held.hint("shuffle_hash"), "shingle", "left_semi")
-    counts = shared.groupBy("class").agg(F.count("*").alias("k"))
-    counts = counts.union(sketch.where("kind = 2").groupBy("class").agg(F.sum("n").alias("k")))
+    met = met.where("low <> high OR rows > named").select("shingle", F.lit(1).alias("met"))
+    counts = postings.join(met.hint("shuffle_hash"), "shingle", "left")
+    counts = counts.groupBy("class").agg(F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(F.coalesce("met", F.lit(0)))).alias("k"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     taken = F.least(F.col("n"), spare + 1 + F.floor((spare + 1) / 2))
-    return counts.groupBy("class").agg(F.sum("k").alias("k")).join(sizes, "class").where(F.col("k") >= taken - spare).select("class", "n", "doc_id")
+    return counts.join(sizes, "class").where(F.col("k") >= taken - spare).select("class", "n", "doc_id")
+
+
+def classed(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, class) of each row."""
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in common.gathered(batches):
+            _, starts, ids = shingle_sets(rows["text"])
+            yield from pa.table({"doc_id": rows["doc_id"], "n": np.diff(starts), "class": ids}).to_batches()
+
+    return docs.select("doc_id", "text").mapInArrow(classify, "doc_id long, n long, class long")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -182,7 +189,7 @@ def frequent(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndar
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, class, n): the rarest shingles of each class, one more than it may miss."""
+    """(shingle, class, n, place): the rarest shingles of each class, one more than it may miss, and their places in order."""
     known, counts = frequent(sets)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +205,10 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             within = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
             kept = within <= np.repeat(n - needed(n, percent), n)
             at = order[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(values[at]), batch.column("class").take(pa.array(doc[at])), pa.array(n[doc[at]])], ["shingle", "class", "n"])
+            columns = [pa.array(values[at]), batch.column("class").take(pa.array(doc[at])), pa.array(n[doc[at]]), pa.array(within[kept])]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "class", "n", "place"])
 
-    return sets.mapInArrow(take, "shingle long, class long, n long")
+    return sets.mapInArrow(take, "shingle long, class long, n long, place long")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
@@ -288,21 +296,38 @@ def tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes that have the same components as all links together."""
-    posted = write_and_read(prefixes(sets, percent), "jaccard-prefixes")
-    close = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    heads = posted.groupBy("shingle").agg(F.min("class").alias("a"), F.min_by("n", "class").alias("an"), F.count("*").alias("k")).where("k > 1")
-    pairs = posted.join(heads, "shingle").where((F.col("class") != F.col("a")) & close("n", "an"))
-    first = write_and_read(pairs.select("a", F.col("class").alias("b")).distinct(), "jaccard-first")
-    links = write_and_read(tried(first, sets, percent), "jaccard-links")
-    roots = components(links, "jaccard-first")
-    labelled = posted.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    labelled = labelled.select("shingle", "class", "n", F.coalesce("root", "class").alias("root"))
-    mixed = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = write_and_read(labelled.join(mixed.select("shingle"), "shingle", "left_semi"), "jaccard-mixed")
-    other = left.select("shingle", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("root").alias("b_root"))
-    across = left.withColumnRenamed("class", "a").join(other, "shingle").where("a < b AND root <> b_root").where(close("n", "bn"))
-    across = across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    return links.union(write_and_read(tried(across, sets, percent), "jaccard-across"))
+    posts = write_and_read(prefixes(sets, percent), "jaccard-prefixes")
+    # if a shingle is the first in order that both have, neither has more in common than what follows it
+    common_ = F.col("n") + F.col("an")
+    enough = ((100 + percent) * (F.col("n") - F.col("place")) >= percent * common_) & ((100 + percent) * (F.col("an") - F.col("a_place")) >= percent * common_)
+    lists = posts.withColumn("root", F.col("class"))
+    links = past = None
+    for turn in range(STARS):
+        # a list's head is the class with the least before the shingle, so one with few shingles of its own; later, any
+        rank = F.col("place") if turn == 0 else F.xxhash64(F.lit(turn), "class")
+        heads = lists.groupBy("shingle").agg(
+            F.min_by("class", rank).alias("a"), F.min_by("n", rank).alias("an"), F.min_by("place", rank).alias("a_place"), F.min_by("root", rank).alias("a_root"), F.min("root").alias("low"), F.max("root").alias("high")
+        )
+        pairs = lists.join(heads.where("low <> high"), "shingle").where(F.col("root") != F.col("a_root")).where(enough)
+        links, past = trial(pairs.select("a", F.col("class").alias("b")), links, past, sets, percent)
+        roots = components(links, f"jaccard-star-{turn}")
+        labelled = posts.join(roots.withColumnRenamed("node", "class"), "class", "left")
+        labelled = labelled.select("shingle", "class", "n", "place", F.coalesce("root", "class").alias("root"))
+        several = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        lists = write_and_read(labelled.join(several.select("shingle"), "shingle", "left_semi"), "jaccard-lists")
+    other = lists.select("shingle", F.col("class").alias("a"), F.col("n").alias("an"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
+    across = lists.withColumnRenamed("class", "b").join(other, "shingle").where("a < b AND root <> a_root").where(enough)
+    return trial(across.select("a", "b"), links, past, sets, percent)[0]
+
+
+def trial(pairs: DataFrame, links: DataFrame | None, past: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links and the tried pairs so far, after these pairs."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if past is not None:
+        pairs = pairs.join(past, ["a", "b"], "left_anti")
+    pairs = write_and_read(pairs, "jaccard-pairs")
+    found = write_and_read(tried(pairs, sets, percent), "jaccard-links")
+    return (found, pairs) if links is None else (links.union(found), past.union(pairs))
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -313,11 +338,9 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     null. Other columns of `docs` are not read.
     """
     docs = docs.select("doc_id", "text")
-    schema = "kind int, doc_id long, class long, n long, shingle long"
-    sketch = write_and_read(docs.mapInArrow(sketched(percent), schema), "jaccard-sketch")
-    rows = sketch.where("kind = 0").select("doc_id", "n", "class")
+    rows = write_and_read(classed(docs), "jaccard-classes")
     sizes = rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"))
-    alive = write_and_read(possible(sketch, sizes, percent), "jaccard-possible")
+    alive = write_and_read(possible(docs, sizes, percent), "jaccard-possible")
     chosen = docs.join(alive.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
     chosen = chosen.union(docs.where("doc_id IS NULL"))
     sets = whole_sets(chosen).dropDuplicates(["class"]).where("n > 0")

@@ -39,6 +39,9 @@ FILE_IDS = 8 << 20
 #: Pieces whose ids a worker remembers; beyond this it starts anew.
 REMEMBERED = 600_000
 END = 0
+LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[i for i in range(128) if chr(i).isalpha()]] = True
+SIGN[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 def pack_bits(positions: np.ndarray, bits: int) -> np.ndarray:
@@ -131,8 +134,8 @@ def after_wide_blank(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts. Every distinct piece of text is encoded once and remembered.
 
-    A piece is a run of blanks with the run of other characters after it. The byte-level pattern has no token with a blank
-    after another character, so a text's ids are those of its pieces, one after another.
+    A piece begins at a run of blanks, or where ASCII punctuation follows an ASCII letter. The byte-level pattern has no token
+    with a blank after another character, nor one with punctuation after a letter, so a text's ids are those of its pieces.
     """
 
     def __init__(self, path: str):
@@ -161,7 +164,7 @@ class Encoder:
         data, offsets = common.text_bytes(texts)
         blank = common.SPACE[data]
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = blank[1:] & ~blank[:-1] & ~after_wide_blank(data)
+        cut[1:-1] = (blank[1:] & ~blank[:-1] & ~after_wide_blank(data)) | (SIGN[data[1:]] & LETTER[data[:-1]])
         cut[offsets] = True
         at = np.flatnonzero(cut)
         # strings over the same bytes, without a copy
