@@ -16,7 +16,7 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Words are runs of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task works on at a time.
-CHUNK = 4 << 20
+CHUNK = (2 << 20) - 1
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

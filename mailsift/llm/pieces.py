@@ -21,13 +21,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
-from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
 from mailsift.llm import common
 
 MARK = "▁"
 #: Parts whose ids a worker remembers; beyond this it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def parsed(path: str) -> sentencepiece_model_pb2.ModelProto:
@@ -167,7 +167,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.gathered(batches, size=common.CHUNK // 2):
+        for rows in common.gathered(batches, size=common.CHUNK // 4):
             texts = rows["text"].combine_chunks().fill_null("").to_pylist()
             ids, n, parity = codec(path).encode(texts)
             restored = codec(path).restored(texts, ids, n)

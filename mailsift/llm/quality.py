@@ -20,7 +20,7 @@ from mailsift.llm import common
 #: Size of the two multinomials. It bounds what a task emits and what is sent to the tasks that score.
 BUCKETS = 1 << 15
 #: Lowest kept score, in nats per n-gram.
-THRESHOLD = -0.5
+THRESHOLD = -0.3
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
 
 SYMBOL = np.zeros(256, bool)
@@ -60,19 +60,25 @@ def counted(buckets: int):
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The log ratio of each bucket, from all of `docs` and those of them whose doc_id is in `trusted`.
 
-    Buckets begin at one count each, so that an n-gram missing in one corpus has a finite ratio. With no trusted document at
-    all every ratio is 0. A null doc_id is never trusted; repeated rows count each time.
+    Each multinomial is mixed half and half with the uniform one, so that an n-gram missing in one corpus has a finite ratio
+    and equal frequencies have ratio 0 at any size. With no trusted document at all every ratio is 0. A null doc_id is never
+    trusted; repeated rows count each time.
     """
     flags = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     marked = docs.select("doc_id", "text").join(flags.hint("shuffle_hash"), "doc_id", "left")
     marked = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     parts = marked.mapInArrow(counted(buckets), "bucket long, target long, raw long")
     totals = parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
-    target, raw = np.ones(buckets), np.ones(buckets)
-    if totals["target"].sum() > 0:
-        target[totals["bucket"]] += totals["target"]
-        raw[totals["bucket"]] += totals["raw"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    target, raw = np.zeros(buckets), np.zeros(buckets)
+    target[totals["bucket"]], raw[totals["bucket"]] = totals["target"], totals["raw"]
+    return log_ratios(target, raw)
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    if not target.sum():
+        return np.zeros(len(raw))
+    uniform = 1 / len(raw)
+    return np.log(target / target.sum() + uniform) - np.log(raw / raw.sum() + uniform)
 
 
 def measured(texts: pa.Array | pa.ChunkedArray, ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
