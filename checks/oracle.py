@@ -45,7 +45,7 @@ base AS (
   SELECT d.doc_id AS email_id, d.text, d.source, regexp_extract(p.url, 'https?://([^/]+)', 1) AS host, e.ts,
          l.toxic AS label, strpos(d.text, chr(10)) AS line_end
   FROM documents d
-  LEFT JOIN pages p ON p.page_id = d.doc_id % 400
+  LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT max(page_id) + 1 FROM pages)
   LEFT JOIN events e ON e.event_id = d.doc_id
   LEFT JOIN labels l ON l.doc_id = d.doc_id
 ),
@@ -281,7 +281,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN body IN ('', 'NaN') THEN 'NaN' ELSE md5(body) END AS body_out, sender AS sender_back,
         CASE WHEN body IN ('', 'NaN') THEN NULL ELSE md5(body) END AS body_back FROM emails""",
     "feature_coerce": """SELECT event_id, 0.0::DOUBLE AS from_json,
-        coalesce(try_cast(substr(props, 7, 3) AS DOUBLE), 0) AS from_piece, round(value, 6) AS from_value,
+        coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0) AS from_piece, round(value, 6) AS from_value,
         0.0::DOUBLE AS from_type FROM events""",
     "optional_columns": f"""WITH {EMAILS} SELECT email_id, sender, strftime(ts, '%a, %d %b %Y %H:%M:%S') ||
         CASE email_id % 4 WHEN 0 THEN ' +0000' WHEN 1 THEN ' +0000 (UTC)' WHEN 2 THEN ' -0700' ELSE ' GMT' END AS date,

@@ -148,7 +148,7 @@ def sentinel_roundtrip(spark, sf):
 
 @query
 def feature_coerce(spark, sf):
-    e = tables.table(spark, sf, "events").withColumn("piece", F.substring("props", 7, 3))
+    e = tables.table(spark, sf, "events").withColumn("piece", F.get_json_object("props", "$.k"))
     return e.select(
         "event_id",
         missing.number_or_zero(F.col("props")).alias("from_json"),
@@ -450,7 +450,7 @@ def holdout_eval(spark, sf):
 def grid_search(spark, sf):
     emails = _clean(spark, sf).select("email_id", "label", "body_clean")
     labelled = folds.stratified_split(emails.where("label IS NOT NULL"))
-    return grid.search(grid.fold_accuracy(labelled.where("NOT is_test"), max_iter=20))
+    return grid.search(grid.fold_accuracy(labelled.where("NOT is_test")))
 
 
 @query

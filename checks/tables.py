@@ -15,21 +15,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def emails(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as emails: senders from pages, dates from events, labels from labels.
-
-    Only page ids below 400 can match and each is one group, so the broadcast side has at most 400 rows.
-    """
+    """documents as emails: senders from all pages in turn, dates from events, labels from labels."""
     d = spread(table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars"))
-    p = (
-        table(spark, sf, "pages")
-        .where("page_id BETWEEN 0 AND 399")
-        .groupBy("page_id")
-        .agg(F.min(F.regexp_extract("url", HOST, 1)).alias("host"))
-    )
+    pages = table(spark, sf, "pages")
+    n_pages = pages.agg(F.max("page_id") + 1).first()[0]
+    p = pages.groupBy("page_id").agg(F.min(F.regexp_extract("url", HOST, 1)).alias("host"))
     e = table(spark, sf, "events").select("event_id", "ts")
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
     joined = (
-        d.join(F.broadcast(p), F.col("page_id") == F.col("doc_id") % 400, "left")
+        d.join(p, F.col("page_id") == F.col("doc_id") % n_pages, "left")
         .join(e, F.col("event_id") == F.col("doc_id"), "left")
         .join(lab, F.col("label_id") == F.col("doc_id"), "left")
     )

@@ -156,7 +156,7 @@ def silhouette_rows(
     rows; memory and output do not. Rows are hashed into blocks, each pair of blocks is one task-sized group, and
     a group yields only the sum of distances per row and cluster, never the pairs.
     """
-    sizes = class_counts(df.select(cluster), cluster)
+    sizes = class_counts(df.select(cluster).where(F.col(cluster).isNotNull()), cluster)
     if len(sizes) < 2:
         raise ValueError("the silhouette needs at least two clusters")
     blocks = max(1, math.ceil(sum(sizes.values()) / block_rows))

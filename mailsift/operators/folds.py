@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..session import side_by_side
 
 HEX_PER_LEVEL = 3
-MAX_CLASSES = 1000
 AFTER_ALL_KEYS = "~"
 
 
@@ -26,13 +25,11 @@ def order_key(row_id: str, seed: int) -> Column:
 
 
 def class_counts(df: DataFrame, label: str | None) -> dict:
-    """Rows per class, in class order; one class named None when there is no label."""
+    """Rows per class, in class order, NULL last; one class named None when there is no label."""
     if label is None:
         return {None: df.count()}
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values: not a class label")
-    return {r[label]: r["count"] for r in sorted((r for r in rows if r[label] is not None), key=lambda r: r[label])}
+    rows = df.groupBy(label).count().collect()
+    return {r[label]: r["count"] for r in sorted(rows, key=lambda r: (r[label] is None, r[label] if r[label] is not None else 0))}
 
 
 def cut_keys(df: DataFrame, row_id: str, seed: int, label: str | None, ranks: dict) -> dict:
@@ -42,8 +39,6 @@ def cut_keys(df: DataFrame, row_id: str, seed: int, label: str | None, ranks: di
     4096 counts per open prefix, whatever the number of rows.
     """
     keyed = df.select(order_key(row_id, seed).alias("k"), (F.col(label) if label else F.lit(None)).alias("c"))
-    if label:
-        keyed = keyed.where(F.col("c").isNotNull())
     found = {(c, r): "" for c, wanted in ranks.items() for r in wanted if r == 0}
     open_cuts = {(c, r): ("", r) for c, wanted in ranks.items() for r in wanted if r > 0}
     length = 0
@@ -85,7 +80,7 @@ def _assign(df, row_id, seed, label, plan, out) -> DataFrame:
         if label is None:
             choice = part
         else:
-            condition = F.col(label) == F.lit(c)
+            condition = F.col(label).eqNullSafe(F.lit(c))
             choice = F.when(condition, part) if choice is None else choice.when(condition, part)
     if choice is None:
         choice = F.lit(None)
@@ -95,13 +90,13 @@ def _assign(df, row_id, seed, label, plan, out) -> DataFrame:
 def stratified_split(
     df: DataFrame, label: str = "label", row_id: str = "email_id", test_share: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """Add `is_test`: ceil(share * n) rows in all, divided over the classes by largest remainder."""
+    """Add `is_test`: ceil(share * n) rows in all, divided over the classes (NULL is one) by largest remainder."""
     counts = class_counts(df, label)
     total = sum(counts.values())
     wanted = math.ceil(round(test_share * total, 9))
     exact = {c: n * wanted / total for c, n in counts.items()} if total else {}
     sizes = {c: math.floor(e) for c, e in exact.items()}
-    by_remainder = sorted(exact, key=lambda c: (-(exact[c] - sizes[c]), c))
+    by_remainder = sorted(exact, key=lambda c: (-(exact[c] - sizes[c]), c is None, c if c is not None else 0))
     for c in by_remainder[: wanted - sum(sizes.values())]:
         sizes[c] += 1
     plan = {c: [sizes[c], counts[c] - sizes[c]] for c in counts}

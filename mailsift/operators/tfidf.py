@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.base import Transformer
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,10 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.ngrams import ngrams, tokens
 from ..functions.stopwords import ENGLISH
 
-# beyond this many terms an unlimited vocabulary is indexed by hash instead of by a list on the driver
-EXACT_TERMS = 1_000_000
-HASH_BITS = 22
-
 
 def with_tokens(df: DataFrame, text: str, stop_words: Sequence[str] | None = ENGLISH, out: str = "tokens") -> DataFrame:
     return df.withColumn(out, tokens(F.col(text), stop_words))
@@ -99,18 +94,17 @@ def full_counter(
     df: DataFrame,
     words: str = "tokens",
     ngram_range: tuple[int, int] = (1, 2),
-    exact_terms: int = EXACT_TERMS,
-    hash_bits: int = HASH_BITS,
+    hash_bits: int | None = None,
 ) -> Counter:
-    """A counter on every n-gram of `df`.
+    """A counter on every n-gram of `df`, each with an index of its own.
 
-    Up to `exact_terms` of them are indexed one by one. A larger vocabulary, like the model on it, would not fit
-    the driver, so its terms share 2**hash_bits hashed indices.
+    The size of the data never changes the method. As MLlib keeps a linear model's coefficients on the driver, a vocabulary
+    has to fit there; for one that does not, the caller may ask for 2**hash_bits hashed indices.
     """
-    distinct = term_counts(df, words, ngram_range).limit(exact_terms + 1).count()
+    distinct = term_counts(df, words, ngram_range).count()
     if distinct == 0:
         raise ValueError("empty vocabulary: no row has a term")
-    if distinct > exact_terms:
+    if hash_bits is not None:
         model = HashingTF(numFeatures=1 << hash_bits, inputCol="__terms", outputCol="tf")
         return Counter(model, 1 << hash_bits, ngram_range)
     listed = df.select(ngrams(F.col(words), *ngram_range).alias("__terms"))
@@ -161,12 +155,13 @@ class Tfidf:
 
     def long_weights(self, df: DataFrame, words: str = "tokens", row_id: str = "email_id") -> DataFrame:
         """The same as a table (row_id, term, weight), one row per term that occurs."""
-        vectors = self.transform(df.select(row_id, words), words, "__v").select(
-            row_id, vector_to_array("__v").alias("__w")
-        )
-        names = F.array(*[F.lit(t) for t in self.counter.terms])
-        cells = F.filter(F.arrays_zip(names.alias("term"), F.col("__w").alias("weight")), lambda x: x["weight"] != 0)
-        return vectors.select(row_id, F.explode(cells).alias("__c")).select(row_id, "__c.term", "__c.weight")
+        vectors = self.transform(df.select(row_id, words), words, "__v").select(row_id, F.unwrap_udt("__v").alias("__u"))
+        # sparse vectors list their indices, dense ones have them all
+        indices = F.coalesce("__u.indices", F.sequence(F.lit(0), F.size("__u.values") - 1))
+        cells = F.arrays_zip(indices.alias("at"), F.col("__u.values").alias("weight"))
+        cells = vectors.select(row_id, F.explode(cells).alias("__c")).where("__c.weight <> 0")
+        names = F.lit(list(self.counter.terms))
+        return cells.select(row_id, F.element_at(names, F.col("__c.at") + 1).alias("term"), "__c.weight")
 
     def table(self, spark) -> DataFrame:
         """(term, doc_freq, idf), one row per term of the vocabulary."""

@@ -22,18 +22,20 @@ def fold_accuracy(
     seed: int = 42,
     stop_words: Sequence[str] | None = tfidf.ENGLISH,
     max_iter: int = 100,
+    hash_bits: int | None = None,
 ) -> DataFrame:
     """(ngram_range, fold, n, accuracy) with every n-gram kept and the model refitted in every fold.
 
     The n-grams are counted once per range. A fold's vocabulary is the set of n-grams in its training rows, so
-    weighing all others with zero gives what refitting it would give.
+    weighing all others with zero gives what refitting it would give. All candidates are counted in the same way, exactly
+    unless `hash_bits` asks for hashed indices for all of them.
     """
     base = emails.where(F.col("label").isNotNull()).select("email_id", F.col("label").cast("int"), text)
     base = write_and_read(tfidf.with_tokens(base, text, stop_words).drop(text), "tokens")
     folded = folds.plain_folds(base, k, seed=seed)
     found = []
     for low, high in ranges:
-        counter = tfidf.full_counter(folded, "tokens", (low, high))
+        counter = tfidf.full_counter(folded, "tokens", (low, high), hash_bits)
         counted = counter.transform(folded).drop("tokens").persist()
 
         def run(train, held_out, fold):

@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import null_to_sentinel
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# ids of one file lie below this, so that a file's rank and a row's place give an id
+ROWS_PER_FILE = 1 << 36
 
 
-def _all_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with every column as text, by header name, and no value taken for missing."""
-    # only the header is read here: schema inference is off
-    raw = spark.read.options(**CSV).option("inferSchema", False).csv(path)
-    return raw.na.fill("")
+def _all_text_csv(spark: SparkSession, path: str | list[str], header: list[str] | None = None) -> DataFrame:
+    """CSV files with every column as text, by header name, and no value taken for missing.
+
+    A file whose header differs from the schema's raises, as values would be taken by position otherwise.
+    """
+    reader = spark.read.options(**CSV).option("inferSchema", False).option("enforceSchema", False)
+    if header:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+    return reader.csv(path).na.fill("")
+
+
+def _csv_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, name that `input_file_name` gives) of the files under `path`, in order of their paths."""
+    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.input_file_name().alias("name"))
+    return sorted((r["path"], r["name"]) for r in listed.collect())
+
+
+def _header(spark: SparkSession, file: str) -> list[str]:
+    return spark.read.options(**CSV).option("inferSchema", False).csv(file).columns
 
 
 def read_emails(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """Raw or cleaned emails. `email_id` is added, in file order, when the input has none.
+    """Raw or cleaned emails. `email_id` is added when the input has none: files in order of their names, rows in file order.
 
-    Quoted line breaks keep a CSV file from being split, so one file is one task: give many files, or convert
-    once to Parquet for large inputs. Across files the ids follow the order in which Spark packs them.
+    Columns go by header name; files may have them in different orders, and a column that a file lacks is empty. Quoted
+    line breaks keep a CSV file from being split, so one file is one task: give many files, or convert once to Parquet for
+    large inputs. The names of CSV files are listed on the driver.
     """
     if format == "csv":
-        df = _all_text_csv(spark, path)
+        by_header: dict[tuple[str, ...], list[tuple[int, str, str]]] = {}
+        for rank, (file, name) in enumerate(_csv_files(spark, path)):
+            by_header.setdefault(tuple(_header(spark, file)), []).append((rank, file, name))
+        if not by_header:
+            return _all_text_csv(spark, path).withColumn("email_id", F.monotonically_increasing_id())
+        df = None
+        for header, files in by_header.items():
+            part = _all_text_csv(spark, [f for _, f, _ in files], list(header))
+            if "email_id" not in header:
+                part = part.withColumn("email_id", _file_order({name: rank for rank, _, name in files}))
+            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+        text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+        df = df.na.fill("", subset=text)
     elif format == "parquet":
         df = spark.read.parquet(path)
         text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -37,6 +66,16 @@ def read_emails(spark: SparkSession, path: str, format: str = "csv") -> DataFram
     return df.withColumn("email_id", F.monotonically_increasing_id())
 
 
+def _file_order(ranks: dict[str, int]) -> Column:
+    """An id from the rank of a row's file and its place in the task that reads it.
+
+    A task reads whole files one after another, and rows of one file keep their order, so places only need to be ascending
+    within a file: the low bits of the increasing id are.
+    """
+    known = F.create_map(*[F.lit(x) for f, r in ranks.items() for x in (f, r)])
+    return known[F.input_file_name()].cast("bigint") * ROWS_PER_FILE + F.monotonically_increasing_id() % F.lit(1 << 33)
+
+
 def read_domain_list(spark: SparkSession, path: str, column: str) -> DataFrame:
     """One column of a lookup list as (domain): blank entries dropped, each entry once, taken as written."""
     listed = spark.read.options(**CSV).option("inferSchema", False).csv(path)
@@ -44,12 +83,13 @@ def read_domain_list(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def write_clean(df: DataFrame, path: str, format: str = "parquet", mode: str = "error") -> None:
-    """Write a table. Parquet keeps NULL; CSV writes it as the text "NaN", with a header and no index."""
+    """Write a table. Parquet keeps NULL; CSV writes it as the text "NaN", with a header and no index, blanks as they are."""
     if format == "parquet":
         df.write.mode(mode).parquet(path)
     elif format == "csv":
         text = {f.name: null_to_sentinel(F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)}
         out = df.withColumns(text) if text else df
-        out.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        out.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", **blanks).csv(path)
     else:
         raise ValueError(f"unknown format {format!r}")

@@ -153,7 +153,7 @@ def test_full_counter_exact_and_hashed(spark):
     )
     total, _ = brute_tfidf(TEXTS, 1, 2, 10**6)
     assert tfidf.full_counter(df, ngram_range=(1, 2)).size == len(total)
-    hashed = tfidf.full_counter(df, ngram_range=(1, 2), exact_terms=3, hash_bits=10)
+    hashed = tfidf.full_counter(df, ngram_range=(1, 2), hash_bits=10)
     assert hashed.size == 1024
     counted = hashed.transform(df)
     sums = [sum(r["tf"].values) for r in counted.orderBy("email_id").collect()]
@@ -351,3 +351,18 @@ def test_logistic_matches_a_direct_solution(spark):
     )
     model = models.logistic(80, 1000, weight="weight").fit(models.with_class_weight(df))
     assert np.allclose([*model.coefficients, model.intercept], beta, atol=1e-3)
+
+
+def test_null_labels_are_a_class_of_splits_and_folds(spark):
+    rows = [(i, None if i % 5 == 0 else i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "email_id long, label int")
+    split = folds.stratified_split(df)
+    assert split.where("is_test IS NULL").count() == 0
+    assert (split.where("is_test").count(), split.where("NOT is_test").count()) == (10, 40)
+    dealt = folds.stratified_folds(df, 5)
+    assert sorted(r["count"] for r in dealt.groupBy("fold").count().collect()) == [10] * 5
+
+
+def test_more_than_a_thousand_classes_are_counted(spark):
+    df = spark.range(3000).selectExpr("id AS email_id", "id % 1500 AS label")
+    assert folds.class_counts(df, "label") == {c: 2 for c in range(1500)}

@@ -174,3 +174,19 @@ def test_every_sql_belongs_to_a_query():
     from checks.queries import QUERIES
 
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_files_in_name_order_and_columns_by_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("subject,body,sender,label\nhi,same,a1,1\n", encoding="utf-8")
+    (tmp_path / "in" / "b.csv").write_text("subject,body,sender,label\nhi,same,b1,0\n" + "x,y,b2,0\n" * 500, encoding="utf-8")
+    (tmp_path / "in" / "c.csv").write_text("label,sender,body,subject\n1,c1,z,s\n", encoding="utf-8")
+    rows = email_files.read_emails(spark, str(tmp_path / "in")).orderBy("email_id").collect()
+    assert [r["sender"] for r in rows[:2]] == ["a1", "b1"] and rows[-1]["sender"] == "c1" and rows[-1]["label"] == "1"
+    assert len({r["email_id"] for r in rows}) == len(rows) == 503
+
+
+def test_csv_keeps_outer_blanks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "  a b "), (2, "\tq")], "email_id long, urls string")
+    email_files.write_clean(df, str(tmp_path / "out"), "csv")
+    assert [r["urls"] for r in email_files.read_emails(spark, str(tmp_path / "out")).orderBy("email_id").collect()] == ["  a b ", "\tq"]
