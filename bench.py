@@ -45,7 +45,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("bench", f"local[{cpus}]")
+    spark = build_session("bench", f"local[{cpus}]", spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     # start the JVM's code paths and the Python workers before timing
     QUERIES["clean_text"](spark, sf_dir).limit(1).collect()

@@ -32,7 +32,7 @@ def rows_of(frame) -> list:
 
 
 def main(sf: str = "/root/testdata/sf0.01", *names: str) -> int:
-    spark = build_session(master="local[8]")
+    spark = build_session(master="local[8]", spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:

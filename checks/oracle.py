@@ -179,6 +179,19 @@ test_size AS (
 )"""
 
 
+def dealt_folds(source: str, row_id: str) -> str:
+    """Five folds of a relation with a label, which are dealt class by class and filled by rank in md5 order."""
+    return f"""
+    sizes AS (SELECT label, n, sum(n) OVER (ORDER BY label) - n AS start
+              FROM (SELECT label, count(*) AS n FROM {source} GROUP BY label)),
+    dealt AS (SELECT label, (start + j) % 5 AS fold, count(*) AS k
+              FROM (SELECT label, start, unnest(range(n)) AS j FROM sizes) GROUP BY ALL),
+    bounds AS (SELECT label, fold, sum(k) OVER (PARTITION BY label ORDER BY fold) AS last,
+                      sum(k) OVER (PARTITION BY label ORDER BY fold) - k AS before FROM dealt),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5({row_id} || '#42')) AS rn FROM {source}),
+    folded AS (SELECT r.*, fold FROM ranked r JOIN bounds b ON b.label = r.label AND rn > before AND rn <= last)"""
+
+
 def report(source: str) -> str:
     """Classification report of a relation with label and pred."""
     return f"""
@@ -327,17 +340,8 @@ ORACLE: dict[str, str] = {
                round(sum(x * x), 6) AS squared_length FROM entries GROUP BY email_id""",
     "stratified_split": f"""WITH {LABELLED}, {split('labelled')}
         SELECT email_id, label, CAST(is_test AS BIGINT) AS is_test FROM split_rows""",
-    "stratified_folds": f"""WITH {LABELLED},
-        sizes AS (SELECT label, n, sum(n) OVER (ORDER BY label) - n AS start
-                  FROM (SELECT label, count(*) AS n FROM labelled GROUP BY label)),
-        dealt AS (SELECT label, (start + j) % 5 AS fold, count(*) AS k
-                  FROM (SELECT label, start, unnest(range(n)) AS j FROM sizes) GROUP BY ALL),
-        bounds AS (SELECT label, fold, sum(k) OVER (PARTITION BY label ORDER BY fold) AS last,
-                          sum(k) OVER (PARTITION BY label ORDER BY fold) - k AS before FROM dealt),
-        ranked AS (SELECT email_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(email_id || '#42')) AS rn
-                   FROM labelled)
-        SELECT email_id, r.label, CAST(fold AS BIGINT) AS fold FROM ranked r JOIN bounds b
-          ON b.label = r.label AND rn > before AND rn <= last""",
+    "stratified_folds": f"""WITH {LABELLED}, {dealt_folds('labelled', 'email_id')}
+        SELECT email_id, label, CAST(fold AS BIGINT) AS fold FROM folded""",
     "plain_folds": f"""WITH {LABELLED} SELECT email_id, label,
         ntile(5) OVER (ORDER BY md5(email_id || '#42')) - 1 AS fold FROM labelled""",
     "size_summary": f"""WITH {LABELLED} SELECT count(*) AS total_rows,
@@ -404,4 +408,15 @@ ORACLE: dict[str, str] = {
         ce AS (SELECT label, cluster, count(*) / n AS r FROM points, n GROUP BY label, cluster, n)
         SELECT round((SELECT sum(r * ln(r / (p * q))) FROM ce JOIN la USING (label) JOIN cl USING (cluster))
           / (((SELECT -sum(p * ln(p)) FROM la) + (SELECT -sum(q * ln(q)) FROM cl)) / 2), 6) AS nmi""",
+    # facts that hold for every right result of these learners
+    "oof_logistic": f"""WITH e AS (SELECT vec_id, CAST(label >= 5 AS BIGINT) AS label FROM embeddings), {dealt_folds('e', 'vec_id')}
+        SELECT vec_id, label, CAST(fold AS BIGINT) AS fold, 1::BIGINT AS scored FROM folded""",
+    "kmeans_best": """SELECT vec_id, CAST(label >= 5 AS BIGINT) AS label, 1::BIGINT AS at_nearest, 1::BIGINT AS at_mean
+        FROM embeddings""",
+    "pca_2d": """SELECT count(*) AS n_rows, 0::DOUBLE AS mean_pc1, 0::DOUBLE AS mean_pc2, 0::DOUBLE AS covariance,
+        1::BIGINT AS falling FROM embeddings""",
+    "pca_variance": """WITH x AS (SELECT unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        t AS (SELECT round(sum(v), 6) AS total_variance FROM (SELECT var_samp(x) AS v FROM x GROUP BY i))
+        SELECT unnest([1, 2])::BIGINT AS component, total_variance, 1::BIGINT AS agrees FROM t""",
+    "pca_centroids": "SELECT unnest([0, 1])::BIGINT AS cluster, 1::BIGINT AS at_mean",
 }

@@ -6,7 +6,9 @@ import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -421,7 +423,8 @@ def nmi(spark, sf):
     return clusters.normalized_mutual_info(tables.clustered(spark, sf))
 
 
-# models: the results depend on the learner, so these have no SQL
+# models: what a learner gives differs between engines, so those below whose rows SQL can know return facts that hold for
+# any right result; the tests look at the results themselves
 
 
 def _small_trees(rows):
@@ -430,7 +433,9 @@ def _small_trees(rows):
 
 @query
 def oof_logistic(spark, sf):
-    return embedding_plan.cross_validated_logistic(tables.labelled_embeddings(spark, sf))
+    """Every row once, in its fold, with a probability."""
+    scores = embedding_plan.cross_validated_logistic(tables.labelled_embeddings(spark, sf))
+    return scores.select("vec_id", "label", "fold", F.coalesce(F.col("prob").between(0, 1), F.lit(False)).alias("scored"))
 
 
 @query
@@ -455,25 +460,65 @@ def grid_search(spark, sf):
 
 @query
 def kmeans_best(spark, sf):
+    """Whether each row is at its nearest centre, and whether that centre is the mean of its rows."""
     points = clusters.with_vector(tables.labelled_embeddings(spark, sf))
     model = clusters.kmeans_best(points)
-    return model.transform(points).select("vec_id", "label", F.col("prediction").alias("cluster"))
+    rows = model.transform(points).withColumn("x", vector_to_array("features"))
+    gaps = []
+    for centre in model.clusterCenters():
+        values = F.array(*map(F.lit, centre.tolist()))
+        gaps.append(F.aggregate(F.zip_with("x", values, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda s, v: s + v))
+    own = F.element_at(F.array(*gaps), F.col("prediction") + 1)
+    at_nearest = (own <= F.array_min(F.array(*gaps)) + 1e-9).alias("at_nearest")
+    means = _cluster_means(rows, "features")
+    settled = [k for k, c in enumerate(model.clusterCenters()) if k in means and np.allclose(means[k], c, atol=1e-3)]
+    return rows.select("vec_id", "label", at_nearest, F.col("prediction").isin(settled).alias("at_mean"))
+
+
+def _cluster_means(rows: DataFrame, features: str) -> dict:
+    """The mean vector of each cluster: as many rows as the model has centres."""
+    means = rows.groupBy("prediction").agg(Summarizer.mean(F.col(features)).alias("mean")).collect()
+    return {r["prediction"]: r["mean"].toArray() for r in means}
 
 
 @query
 def pca_2d(spark, sf):
+    """Rows, and what the scores of principal components have: mean 0, no covariance, falling variance."""
     points = clusters.with_vector(tables.labelled_embeddings(spark, sf))
-    return clusters.fit_pca(points).transform(points).select("vec_id", "label", "pc1", "pc2")
+    return clusters.fit_pca(points).transform(points).agg(
+        F.count("*").alias("n_rows"),
+        F.abs(F.round(F.avg("pc1"), 6)).alias("mean_pc1"),
+        F.abs(F.round(F.avg("pc2"), 6)).alias("mean_pc2"),
+        F.abs(F.round(F.covar_samp("pc1", "pc2"), 6)).alias("covariance"),
+        (F.var_samp("pc1") >= F.var_samp("pc2")).alias("falling"),
+    )
 
 
 @query
 def pca_variance(spark, sf):
+    """The total variance, and whether each component's share of it is the variance of its scores."""
     points = clusters.with_vector(tables.labelled_embeddings(spark, sf))
-    return clusters.fit_pca(points).explained_variance(spark)
+    fitted = clusters.fit_pca(points)
+    scores = fitted.transform(points).agg(
+        F.var_samp("pc1").alias("v1"),
+        F.var_samp("pc2").alias("v2"),
+        Summarizer.variance(F.col("features")).alias("each"),
+    )
+    total = F.aggregate(vector_to_array("each"), F.lit(0.0), lambda s, v: s + v)
+    scores = scores.select("v1", "v2", total.alias("total_variance"))
+    shares = fitted.explained_variance(spark).join(F.broadcast(scores))
+    own = F.when(F.col("component") == 1, F.col("v1")).otherwise(F.col("v2"))
+    agrees = F.abs(F.col("variance_share") * F.col("total_variance") - own) < 1e-6 * F.col("total_variance")
+    return shares.select("component", "total_variance", agrees.alias("agrees"))
 
 
 @query
 def pca_centroids(spark, sf):
+    """Whether each projected centre is the mean of its rows' projections."""
     points = clusters.with_vector(tables.labelled_embeddings(spark, sf))
-    centres = clusters.centroids(clusters.kmeans_best(points), spark)
-    return clusters.fit_pca(points).transform(centres).select("cluster", "pc1", "pc2")
+    model, fitted = clusters.kmeans_best(points), clusters.fit_pca(points)
+    centres = fitted.transform(clusters.centroids(model, spark)).select("cluster", "pc1", "pc2")
+    rows = fitted.transform(model.transform(points)).groupBy(F.col("prediction").alias("cluster"))
+    means = rows.agg(F.avg("pc1").alias("m1"), F.avg("pc2").alias("m2"))
+    near = (F.abs(F.col("pc1") - F.col("m1")) < 1e-3) & (F.abs(F.col("pc2") - F.col("m2")) < 1e-3)
+    return centres.join(means, "cluster", "left").select("cluster", F.coalesce(near, F.lit(False)).alias("at_mean"))

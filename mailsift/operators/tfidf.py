@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.ml.base import Transformer
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,9 +136,27 @@ class Weighting:
 
 
 def fit_weighting(counted: DataFrame, counts: str = "tf", drop_unseen: bool = False) -> Weighting:
-    """Document frequencies in one aggregate over the count vectors."""
-    row = counted.select(Summarizer.metrics("count", "numNonZeros").summary(F.col(counts)).alias("s")).first()["s"]
-    return Weighting(row["count"], tuple(int(x) for x in row["numNonZeros"]), drop_unseen)
+    """Document frequencies in one aggregate of (index, rows), which starts on the map side.
+
+    Its work and shuffle follow the terms that occur, not the width of the vocabulary. Index -1 counts the rows.
+    """
+    vectors = counted.select(F.unwrap_udt(counts).alias("__u"))
+    cells = F.arrays_zip(occupied("__u").alias("at"), F.col("__u.values").alias("n"))
+    present = F.transform(F.filter(cells, lambda c: c["n"] != 0), lambda c: c["at"])
+    hits = vectors.select(F.explode(F.concat(F.array(F.lit(-1)), present)).alias("at")).groupBy("at").count()
+    found = {r["at"]: r["count"] for r in hits.collect()}
+    width = counted.select(vector_size(counts).alias("n")).first()
+    return Weighting(found.get(-1, 0), tuple(found.get(i, 0) for i in range(width["n"] if width else 0)), drop_unseen)
+
+
+def occupied(vector: str) -> Column:
+    """The indices of an unwrapped vector's values: sparse vectors list them, dense ones have them all."""
+    return F.coalesce(f"{vector}.indices", F.sequence(F.lit(0), F.size(f"{vector}.values") - 1))
+
+
+def vector_size(vector: str) -> Column:
+    unwrapped = F.unwrap_udt(vector)
+    return F.coalesce(unwrapped["size"], F.size(unwrapped["values"]))
 
 
 @dataclass(frozen=True)
@@ -156,9 +173,7 @@ class Tfidf:
     def long_weights(self, df: DataFrame, words: str = "tokens", row_id: str = "email_id") -> DataFrame:
         """The same as a table (row_id, term, weight), one row per term that occurs."""
         vectors = self.transform(df.select(row_id, words), words, "__v").select(row_id, F.unwrap_udt("__v").alias("__u"))
-        # sparse vectors list their indices, dense ones have them all
-        indices = F.coalesce("__u.indices", F.sequence(F.lit(0), F.size("__u.values") - 1))
-        cells = F.arrays_zip(indices.alias("at"), F.col("__u.values").alias("weight"))
+        cells = F.arrays_zip(occupied("__u").alias("at"), F.col("__u.values").alias("weight"))
         cells = vectors.select(row_id, F.explode(cells).alias("__c")).where("__c.weight <> 0")
         names = F.lit(list(self.counter.terms))
         return cells.select(row_id, F.element_at(names, F.col("__c.at") + 1).alias("term"), "__c.weight")

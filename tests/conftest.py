@@ -10,7 +10,7 @@ from mailsift.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4")
+    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -122,6 +122,10 @@ DATES = {
     "Sat, 06 Jan 2024 04:59:59 +0000": datetime(2024, 1, 6, 4, 59, 59),
     "5  aug\t2008 6:1:2 +00:00": datetime(2008, 8, 5, 6, 1, 2),
     "05 Aug 2008 16:31:02 Z": datetime(2008, 8, 5, 16, 31, 2),
+    "06 Aug 2008 10:00:00 +1900": datetime(2008, 8, 5, 15, 0, 0),
+    "06 Aug 2008 10:00:00 -23:59": datetime(2008, 8, 7, 9, 59, 0),
+    "06 Aug 2008 10:00:00 +2400": None,
+    "06 Aug 2008 10:00:00 +0060": None,
     "05 Aug 2008 16:59:60 +0000": datetime(2008, 8, 5, 17, 0, 0),
     "05 Aug 2008 16:31:02 GMT": None,
     "31 Feb 2008 10:00:00 +0000": None,

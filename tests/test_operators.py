@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from mailsift.functions.ngrams import tokens
@@ -366,3 +367,10 @@ def test_null_labels_are_a_class_of_splits_and_folds(spark):
 def test_more_than_a_thousand_classes_are_counted(spark):
     df = spark.range(3000).selectExpr("id AS email_id", "id % 1500 AS label")
     assert folds.class_counts(df, "label") == {c: 2 for c in range(1500)}
+
+
+def test_document_frequencies_of_sparse_and_dense_vectors(spark):
+    rows = [(Vectors.sparse(4, [1, 3], [2.0, 0.0]),), (Vectors.dense([0.0, 1.0, 5.0, 0.0]),), (Vectors.sparse(4, [], []),)]
+    fitted = tfidf.fit_weighting(spark.createDataFrame(rows, ["tf"]))
+    assert (fitted.rows, fitted.doc_freq) == (3, (0, 2, 1, 0))
+    assert tfidf.fit_weighting(spark.createDataFrame(rows, ["tf"]).limit(0)).rows == 0
