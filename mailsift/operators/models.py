@@ -43,7 +43,8 @@ def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight")
 
 def fit_and_score(classifier: Estimator, train: DataFrame, held_out: DataFrame, keep: list[str]) -> DataFrame:
     """Fit on `train`, score `held_out`: the columns `keep` and `prob`, the probability of class 1."""
-    shared_folder(train.sparkSession)
+    if classifier.hasParam("checkpointInterval"):  # the boosted trees cut their lineage there
+        shared_folder(train.sparkSession)
     model = classifier.fit(train)
     return model.transform(held_out).select(*keep, vector_to_array("probability")[1].alias("prob"))
 
