@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,18 +120,23 @@ def places(rows: DataFrame, large: int = LARGE) -> DataFrame:
     sizes = calls.groupBy("conv_id").agg(F.count("*").alias("n"))
     calls = write_and_read(calls.join(sizes, "conv_id"), "chat-calls")
 
-    def in_task(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["turn", "call_id", "use"], na_position="first").reset_index(drop=True)
-        first = {}
-        for k, (call, use) in enumerate(zip(group["call_id"], group["use"], strict=True)):
-            if use == 1:
-                first[call] = k
-        after = [[first.get(x, k) for x in (needs if needs is not None else [])] for k, needs in enumerate(group["after"])]
-        place = ordered(list(range(len(group))), after)
-        return pd.DataFrame({"conv_id": group["conv_id"], "call_id": group["call_id"], "use": group["use"], "place": pd.array(place, "Int64")})
+    def in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for row, group in enumerate(batch.column("calls").to_pylist()):
+                first = {call["call_id"]: k for k, call in enumerate(group) if call["use"] == 1}
+                after = [[first.get(x, k) for x in call["after"] or []] for k, call in enumerate(group)]
+                place = ordered(list(range(len(group))), after)
+                rows += [row] * len(group)
+                out += [{"call_id": c["call_id"], "use": c["use"], "place": p} for c, p in zip(group, place, strict=True)]
+            found = pa.Table.from_pylist(out, schema=pa.schema([("call_id", pa.string()), ("use", pa.int32()), ("place", pa.int64())]))
+            yield from found.add_column(0, "conv_id", batch.column("conv_id").take(pa.array(rows, pa.int64()))).to_batches()
 
     schema = f"conv_id {calls.schema['conv_id'].dataType.simpleString()}, call_id string, use int, place long"
-    small = calls.where(F.col("n") <= large).drop("n").groupBy("conv_id").applyInPandas(in_task, schema)
+    # a number of partitions, as adaptive execution would merge these few bytes into one task; a list has `large` calls at most
+    tasks = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = calls.where(F.col("n") <= large).repartition(tasks, "conv_id").groupBy("conv_id")
+    small = grouped.agg(F.sort_array(F.collect_list(F.struct("turn", "call_id", "use", "after"))).alias("calls")).mapInArrow(in_tasks, schema)
     if calls.where(F.col("n") > large).isEmpty():
         return small
     return small.unionByName(by_rounds(calls.where(F.col("n") > large)))
