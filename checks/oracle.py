@@ -79,6 +79,8 @@ def cleaned(x: str, entities: bool = False) -> str:
     return f"CASE WHEN {x} IN ('', 'NaN') THEN NULL ELSE nullif({step}, '') END"
 
 
+BROKEN = "replace(replace(replace(text, '''', 'â€™'), 'é', 'Ã©'), 'ç', 'Ã§')"
+
 EMAILS = r"""
 base AS (
   SELECT d.doc_id AS email_id, d.text, d.source, regexp_extract(p.url, 'https?://([^/]+)', 1) AS host, e.ts,
@@ -320,6 +322,8 @@ ORACLE: dict[str, str] = {
         SELECT *, nullif({strip("coalesce(subject_clean, '') || ' ' || coalesce(body_clean, '')")}, '') AS email_text_clean
         FROM c""",
     "clean_html_text": f"SELECT page_id, {cleaned('html', entities=True)} AS html_clean FROM pages",
+    # ligatures are not put in here: NFKC takes them out again
+    "clean_broken_text": f"SELECT doc_id, {cleaned(BROKEN)} AS text_clean FROM documents",
     "known_domain_flags": f"""WITH {EMAILS} SELECT email_id,
         CAST(coalesce(domain IN ({TOP.format('.com')}), false) AS BIGINT) AS is_known_domain,
         CAST(coalesce(domain IN ({TOP.format('.org')}), false) AS BIGINT) AS is_known_fortune_domain FROM emails""",

@@ -106,6 +106,16 @@ def clean_html_text(spark, sf):
     return text.clean_text(pages, {"html": "html_clean"}).select("page_id", "html_clean")
 
 
+@query
+def clean_broken_text(spark, sf):
+    """The cleaning chain on documents with quotes and letters broken by a wrong decoding, and with ligatures (NFKC)."""
+    broken = F.col("text")
+    for char, instead in (("'", "â€™"), ("é", "Ã©"), ("ç", "Ã§"), ("fi", "\ufb01")):
+        broken = F.replace(broken, F.lit(char), F.lit(instead))
+    docs = tables.table(spark, sf, "documents").select("doc_id", broken.alias("text"))
+    return text.clean_text(docs, {"text": "text_clean"}).select("doc_id", "text_clean")
+
+
 @query
 def known_domain_flags(spark, sf):
     parts = clean.with_sender_parts(tables.emails(spark, sf))
@@ -252,6 +262,7 @@ def ngram_ranges(spark, sf):
 @query
 def standard_scale(spark, sf):
     df = _clean(spark, sf).where("label IS NOT NULL").select("email_id", *assemble.TABULAR)
+    df = write_and_read(df, "numbers")  # read to fit and again to scale
     return scale.fit_scaling(df, assemble.TABULAR).transform(df)
 
 
@@ -448,12 +459,13 @@ def oof_gbt(spark, sf):
 def holdout_eval(spark, sf):
     base = evaluate.base_features(_clean(spark, sf))
     scores = evaluate.held_out(base, max_features=100, make_classifier=_small_trees)
-    return metrics.evaluation(scores, ["feature_set"])
+    # stored, as the measures read the scores several times and every reading would run the models
+    return metrics.evaluation(write_and_read(scores, "scores"), ["feature_set"])
 
 
 @query
 def grid_search(spark, sf):
-    emails = _clean(spark, sf).select("email_id", "label", "body_clean")
+    emails = write_and_read(_clean(spark, sf).select("email_id", "label", "body_clean"), "grid-texts")
     labelled = folds.stratified_split(emails.where("label IS NOT NULL"))
     return grid.search(grid.fold_accuracy(labelled.where("NOT is_test")))
 

@@ -196,12 +196,12 @@ def evaluation(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if((p >= INBOX_BELOW) & (p <= SPAM_ABOVE)).alias("quarantine"),
         F.count_if(p > SPAM_ABOVE).alias("spam"),
     )
-    # one row per evaluation on each side
+    # one row per evaluation on each side; an evaluation without any score has no AUC, but stays
     parts = [binary_metrics(scored, by), roc_auc(scored, by), groups]
     if not by:
         parts = [part.withColumn("__one", F.lit(1)) for part in parts]
     on = list(by) or ["__one"]
-    return parts[0].join(parts[1], on).join(parts[2], on).drop("__one")
+    return parts[0].join(parts[1], on, "left").join(parts[2], on).drop("__one")
 
 
 def size_summary(df: DataFrame, is_test: str = "is_test") -> DataFrame:
