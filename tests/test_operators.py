@@ -374,3 +374,11 @@ def test_document_frequencies_of_sparse_and_dense_vectors(spark):
     fitted = tfidf.fit_weighting(spark.createDataFrame(rows, ["tf"]))
     assert (fitted.rows, fitted.doc_freq) == (3, (0, 2, 1, 0))
     assert tfidf.fit_weighting(spark.createDataFrame(rows, ["tf"]).limit(0)).rows == 0
+
+
+def test_evaluation_without_scores_stays(spark):
+    rows = [("a", 0, 0.1), ("a", 1, 0.9), ("b", 0, None), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "part string, label int, prob double")
+    found = {r["part"]: r for r in metrics.evaluation(df, ["part"]).collect()}
+    assert found["a"]["roc_auc"] == 1
+    assert found["b"]["roc_auc"] is None and found["b"]["tp"] == 0
