@@ -4,8 +4,9 @@ A text is the set of its shingles of five lower-cased words. Two sets link when
 classes, the sets that differ; texts with equal sets meet in their class without being paired.
 
 1. A class of s shingles needs T = ceil(0.8 s) of its shingles in the other set, so at most s - T may lie in no other
-   class. The first shingles of each class by hash (half more than s - T + 1) are looked up among all classes; where more than
-   s - T of them are the class's own, no partner exists. Most of a corpus ends here, and only hashes have been shuffled.
+   class. The first shingles of each class by hash (half more than s - T + 1) are looked up among the first ones of all
+   classes; where too few of them are met, no partner exists (`further` says why). Most of a corpus ends here, and only
+   hashes have been shuffled.
 2. The rest, with whole sets, takes part in the search. Its shingles are ordered from rare to frequent (frequent ones by a
    bounded table of counts; any order is exact), and any two linked classes share one of their first s - T + 1 in it.
 3. Within the inverted list of each such shingle, every class is first tried against one class of the list only. Once these
@@ -83,10 +84,26 @@ def shingle_sets(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.nda
     return values, starts, ids.view(np.int64)
 
 
+def further(spare, percent: int):
+    """How many shingles a set that may miss `spare` looks up beyond spare + 1. A set with a partner meets 1 more than that.
+
+    Sets of n = c + a and m = c + b with c in common look up p(n) and p(m) shingles in one order, p = spare + 1 + spare // 2.
+    At least p(n) - a of the first and p(m) - b of the second are common, and each time they are the first of the common ones,
+    so the smaller number is met. p(n) - a >= 1 + spare(n) // 2 as a <= spare(n). p(m) - b is as large if
+    spare(n) // 2 - spare(m) // 2 <= spare(m) - b. With the share r = percent / 100, spare(s) = floor((1 - r) s), and a link
+    means (1 - r) c >= r (a + b). So spare(m) - b = floor((1 - r) c - r b) >= floor(r a) >= 0. If a <= b, spare(n) <= spare(m).
+    If a > b, the left side is at most ceil(ceil((1 - r) a) / 2), which for r >= 1/2 is at most floor(r a) from a = 2 on; for
+    a = 1 and b = 0, spare(n) <= spare(m) + 1, and the left side is 0 if spare(m) = 0 and at most 1 otherwise. A set that
+    looks up all its shingles misses no common one. Half of spare rounded up would lose 4 against 5 shingles. For r < 1/2
+    nothing is added: a set with a partner meets 1.
+    """
+    return spare // 2 if percent >= 50 else spare * 0
+
+
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     """How many shingles of a set are looked up first: more than may be missing by half, but never more than there are."""
     spare = n - needed(n, percent)
-    return np.minimum(n, spare + 1 + (spare + 1) // 2)
+    return np.minimum(n, spare + 1 + further(spare, percent))
 
 
 def posted(percent: int):
@@ -147,7 +164,8 @@ def possible(docs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     counts = postings.join(met.hint("shuffle_hash"), "shingle", "left")
     counts = counts.groupBy("class").agg(F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(F.coalesce("met", F.lit(0)))).alias("k"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    taken = F.least(F.col("n"), spare + 1 + F.floor((spare + 1) / 2))
+    more = F.floor(spare / 2) if percent >= 50 else F.lit(0)  # as `further`
+    taken = F.least(F.col("n"), spare + 1 + more)
     return counts.join(sizes, "class").where(F.col("k") >= taken - spare).select("class", "n", "doc_id")
 
 

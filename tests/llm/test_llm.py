@@ -418,6 +418,24 @@ def test_near_copies_equal_all_pairs(spark):
     assert sorted(x["doc_id"] for x in neighbours.keep_one(docs).collect()) == sorted(set(brute_components(texts)))
 
 
+def test_near_copies_of_eight_and_nine_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "some other words that nothing else has here")], "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in neighbours.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("percent", [30, 50, 67, 80, 95])
+def test_prefixes_meet_often_enough_for_all_sizes(percent):
+    for c in range(1, 400 if percent >= 50 else 60):
+        most = c * (100 - percent) // percent
+        a, b = (x.ravel() for x in np.mgrid[: most + 1, : most + 1])
+        a, b = a[a + b <= most], b[a + b <= most]
+        n, m = c + a, c + b
+        assert all(neighbours.linked(c, x, y, percent) for x, y in ((c, c + most), (c + most, c)))
+        first, second = neighbours.prefix_sizes(n, percent), neighbours.prefix_sizes(m, percent)
+        met = np.minimum(np.where(first == n, c, first - a), np.where(second == m, c, second - b))
+        assert (met >= first - (n - neighbours.needed(n, percent))).all(), c
+
+
 def test_divide_skip_equals_counting():
     r = np.random.default_rng(13)
     for _ in range(60):
