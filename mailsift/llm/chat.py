@@ -2,8 +2,9 @@
 
 Calls and results are joined by (conversation, identifier, occurrence): if an identifier is used again, its k-th result
 belongs to its k-th call. A call may name others whose results it uses; it comes after them. The order within a conversation
-is the topological one that takes the earliest turn first. Conversations are ordered in tasks, several to a task; one that
-is longer than LARGE calls is ordered by rounds of joins instead, so that no task holds it.
+is the topological one that takes the earliest turn first, for any length. Conversations are ordered in tasks, several to a
+task. One that is longer than LARGE calls is ranked by a range sort instead, so that no task holds it; where a call names a
+later one, or one that is missing, the pairs of ranks of that conversation (no texts) go through one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -139,37 +141,58 @@ def places(rows: DataFrame, large: int = LARGE) -> DataFrame:
     small = grouped.agg(F.sort_array(F.collect_list(F.struct("turn", "call_id", "use", "after"))).alias("calls")).mapInArrow(in_tasks, schema)
     if calls.where(F.col("n") > large).isEmpty():
         return small
-    return small.unionByName(by_rounds(calls.where(F.col("n") > large)))
-
-
-def by_rounds(calls: DataFrame) -> DataFrame:
-    """The same for large conversations: calls are placed level by level, a level being one round of joins, and within a
-    level by turn. This is also topological, though calls of later turns may wait for a whole level."""
-    keys = ["conv_id", "call_id", "use"]
-    edges = write_and_read(calls.select(*keys, F.explode("after").alias("need")), "chat-edges")
-    open_, done = calls.select(*keys, "turn"), None
-    level = 0
-    while True:
-        placed = calls.sparkSession.createDataFrame([], calls.select("conv_id", F.col("call_id").alias("need")).schema) if done is None else done.where("use = 1").select("conv_id", F.col("call_id").alias("need"))
-        blocked = edges.join(placed, ["conv_id", "need"], "left_anti").select(*keys).distinct()
-        ready = write_and_read(open_.join(blocked, keys, "left_anti").withColumn("level", F.lit(level)), "chat-level")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else write_and_read(done.unionByName(ready), "chat-done")
-        open_ = write_and_read(open_.join(ready.select(*keys), keys, "left_anti"), "chat-open")
-        level += 1
-    rest = open_.select(*keys, F.lit(None).cast("long").alias("place"))
-    if done is None:
-        return rest
-    # ranks by blocks of turns: no task ranks a whole conversation
-    block = F.floor(F.col("turn") / 4096)
-    done = done.withColumn("block", F.coalesce(block, F.lit(-1)))
-    counts = done.groupBy("conv_id", "level", "block").agg(F.count("*").alias("k"))
-    start = F.coalesce(F.sum("k").over(Window.partitionBy("conv_id").orderBy("level", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("conv_id", "level", "block", start.alias("start"))
-    within = Window.partitionBy("conv_id", "level", "block").orderBy("turn", "call_id", "use")
-    out = done.join(counts, ["conv_id", "level", "block"])
-    return out.select(*keys, (F.col("start") + F.row_number().over(within) - 1).alias("place")).unionByName(rest)
+    return small.unionByName(by_ranks(calls.where(F.col("n") > large), tasks))
+
+
+def ordered_ranks(n: int, users: np.ndarray, needs: np.ndarray) -> np.ndarray:
+    """The same as `ordered` for calls 0 to n - 1 in order of turns and pairs of a call and one it needs; -1 without a place."""
+    waiting = np.bincount(users, minlength=n).tolist()
+    order = np.argsort(needs, kind="stable")
+    users, starts = users[order], np.searchsorted(needs[order], np.arange(n + 1))
+    ready = [k for k in range(n) if not waiting[k]]  # sorted, so a heap
+    place = np.full(n, -1, np.int64)
+    done = 0
+    while ready:
+        k = heapq.heappop(ready)
+        place[k] = done
+        done += 1
+        for user in users[starts[k] : starts[k + 1]].tolist():
+            waiting[user] -= 1
+            if not waiting[user]:
+                heapq.heappush(ready, user)
+    return place
+
+
+def by_ranks(calls: DataFrame, tasks: int) -> DataFrame:
+    """The same places for large conversations, in a fixed number of joins however long the chains of calls are.
+
+    Where each call needs earlier calls only, the order is that of the turns, and the place is the rank in it.
+    """
+    keys, by = ["conv_id", "call_id", "use"], ["conv_id", "turn", "call_id", "use"]
+    rows = calls.select(*by, "after").repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    rows = write_and_read(rows.withColumn("at", F.monotonically_increasing_id()), "chat-ranges").withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("k"), F.min("at").alias("low"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("conv_id", "part", (before - F.col("low")).alias("shift"))
+    rows = write_and_read(rows.join(F.broadcast(parts), ["conv_id", "part"]).select(*keys, "after", (F.col("at") + F.col("shift")).alias("rank")), "chat-ranks")
+
+    edges = rows.select("conv_id", F.col("rank").alias("user"), F.explode("after").alias("call_id"))
+    first = rows.where("use = 1").select("conv_id", "call_id", F.col("rank").alias("need"))
+    edges = edges.join(first, ["conv_id", "call_id"], "left").select("conv_id", "user", F.coalesce("need", "user").alias("need"))
+    edges = write_and_read(edges, "chat-edges")
+    mixed = F.broadcast(edges.where("need >= user").select("conv_id").distinct())
+    plain = rows.join(mixed, "conv_id", "left_anti").select(*keys, F.col("rank").alias("place"))
+    rows = rows.join(mixed, "conv_id", "left_semi")
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
+
+    def order(key: tuple, pairs: pa.Table) -> pa.Table:
+        place = ordered_ranks(pairs["n"][0].as_py(), pairs["user"].to_numpy(), pairs["need"].to_numpy())
+        rank = np.flatnonzero(place >= 0)
+        return pa.table({"conv_id": pa.repeat(key[0], len(rank)), "rank": rank, "place": place[rank]})
+
+    kind = calls.schema["conv_id"].dataType.simpleString()
+    placed = edges.join(F.broadcast(sizes), "conv_id").groupBy("conv_id").applyInArrow(order, f"conv_id {kind}, rank long, place long")
+    return plain.unionByName(rows.join(placed, ["conv_id", "rank"], "left").select(*keys, "place"))
 
 
 def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], large: int = LARGE) -> DataFrame:

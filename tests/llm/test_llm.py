@@ -14,6 +14,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from mailsift.llm import chat, common, embeddings, mixing, neighbours, personal, pieces, quality, sharding, tokencounts, tokenfiles
@@ -289,6 +291,31 @@ def test_tool_calls_are_linked_and_ordered(spark):
     assert next(v for (k, _), v in large.items() if k == "l") is None
 
 
+def test_large_conversations_have_the_order_of_small_ones(spark):
+    r = random.Random(5)
+    calls = [(1, 1, "a", ["b"]), (1, 3, "b", []), (1, 5, "c", [])]
+    for conv in range(2, 8):
+        n = 60
+        for k in range(n):  # needs of earlier calls, of any, of itself, of missing ones
+            needs = r.sample([f"c{j}" for j in range(k if conv < 4 else n)] + [f"m{conv}"] * (conv > 5), min(k, r.choice([0, 0, 1, 2])))
+            calls.append((conv, r.choice([k, k, None, -5000 * k]) if conv > 4 else k, f"c{k if r.random() < 0.9 else r.randrange(n)}", needs))
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, after array<string>")
+    c = c.select("*", F.lit("linked").alias("status"), F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "after")).alias("use"))
+    c.persist()
+    small, large = ({(x["conv_id"], x["call_id"], x["use"]): x["place"] for x in chat.places(c, most).collect()} for most in (1000, 1))
+    assert small == large and len(small) == len(calls)
+    assert [small[1, x, 1] for x in "bac"] == [0, 1, 2]
+
+
+def test_chains_longer_than_a_large_conversation(spark):
+    n = 3 * chat.LARGE
+    c = spark.range(n).select(F.lit("z").alias("conv_id"), F.col("id").alias("turn"), F.col("id").cast("string").alias("call_id"), F.lit(1).alias("use"), F.lit("linked").alias("status"))
+    other = lambda k: F.array((F.col("turn") + k).cast("string"))
+    for after, place in ((F.when(F.col("turn") > 1, other(-2)), F.col("turn")), (F.when(F.col("turn") < n - 1, other(1)), n - 1 - F.col("turn")), (other(-1), F.lit(None).cast("long"))):
+        rows = chat.places(c.withColumn("after", after)).join(c, "call_id")
+        assert rows.count() == n and rows.where(~F.col("place").eqNullSafe(place)).isEmpty()
+
+
 def test_derived_calls_and_empty_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes. no"), (1, 2, "user", None), (1, 3, "assistant", None), (None, None, None, None)], "conv_id long, turn long, role string, text string")
     assert chat.formatted(*chat.derived(turns), chat.SCHEMAS).count() == 2
