@@ -28,7 +28,7 @@ KINDS = {"string": str, "boolean": bool, "object": dict, "array": list}
 #: Tools that the registered query derives from turns, with the schemas of their arguments.
 SCHEMAS = {
     "search": {"type": "object", "required": ["query", "turn"], "additionalProperties": False, "properties": {"query": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
-    "summarise": {"type": "object", "required": ["turn", "max_chars"], "properties": {"turn": {"type": "integer", "minimum": 0}, "max_chars": {"type": "integer", "minimum": 40, "maximum": 400}}},
+    "summarise": {"type": "object", "required": ["turn", "max_chars"], "properties": {"turn": {"type": "integer", "minimum": 0}, "max_chars": {"type": "integer", "minimum": 40, "maximum": 400}, "text": {"type": "string"}}},
     "translate": {"type": "object", "required": ["text", "to"], "properties": {"text": {"type": "string", "maxLength": 600}, "to": {"type": "string", "enum": ["de", "en", "es", "fr"]}}},
 }
 
@@ -226,20 +226,42 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], la
     return rows.select("conv_id", "call_id", "place", "status", "name", "arguments", "content").mapInPandas(serialise, f"conv_id {kind}, call_id string, place long, status string, valid boolean, problems string, json string")
 
 
+#: Turns that are calls, and turns that are results.
+CALL, RESULT = "role = 'assistant'", "role = 'user' AND turn > 0"
+
+
 def derived(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from a table of turns (conv_id, turn, role, text).
 
-    Every assistant turn calls a tool that its number chooses, with arguments from its text; a call from turn 3 on uses the
-    result of the call two turns before. Every user turn after the first is the result of the turn before it, so there are
-    calls without result, results without call, and arguments that break their schema.
+    Every assistant turn calls a tool that its number chooses, with its whole text in the arguments; a call from turn 3 on
+    uses the result of the call two turns before. Every user turn after the first is the result of the turn before it, so
+    there are calls without result, results without call, and arguments that break their schema. `messages` has the others.
     """
     text = F.coalesce("text", F.lit(""))
     identifier = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     name = F.element_at(F.array(*map(F.lit, SCHEMAS)), F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3)).cast("int") + 1)
-    arguments = F.when(name == "search", F.to_json(F.struct(F.substring_index(text, ".", 1).alias("query"), F.col("turn"))))
-    arguments = arguments.when(name == "summarise", F.to_json(F.struct(F.col("turn"), F.length(text).alias("max_chars"))))
+    arguments = F.when(name == "search", F.to_json(F.struct(text.alias("query"), F.col("turn"))))
+    arguments = arguments.when(name == "summarise", F.to_json(F.struct(F.col("turn"), F.length(text).alias("max_chars"), text.alias("text"))))
     arguments = arguments.otherwise(F.to_json(F.struct(text.alias("text"), F.lit("en").alias("to"))))
     needs = F.when(F.col("turn") >= 3, F.array(identifier(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
-    calls = turns.where("role = 'assistant'").select("conv_id", "turn", identifier(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), needs.alias("after"))
-    results = turns.where("role = 'user' AND turn > 0").select("conv_id", "turn", identifier(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    calls = turns.where(CALL).select("conv_id", "turn", identifier(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), needs.alias("after"))
+    results = turns.where(RESULT).select("conv_id", "turn", identifier(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def messages(turns: DataFrame) -> DataFrame:
+    """The turns that are neither calls nor results (system, opening, and without a role or number), as rows like those of
+    `formatted`: status message, the canonical JSON of role, turn and content, and no call, place or verdict."""
+
+    def serialise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            content = [canonical({"message": {"role": r, "turn": None if pd.isna(n) else int(n), "content": t}}) for r, n, t in zip(rows["role"], rows["turn"], rows["text"], strict=True)]
+            rows["json"] = pd.Series(content, index=rows.index, dtype="object")
+            yield rows[["conv_id", "json"]]
+
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    # the id as a text on the way, as pandas would make numbers with nulls floating
+    other = turns.where(f"NOT coalesce({CALL}, false) AND NOT coalesce({RESULT}, false)").select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
+    rows = other.mapInPandas(serialise, "conv_id string, json string")
+    none = lambda t: F.lit(None).cast(t)
+    return rows.select(F.col("conv_id").cast(kind), none("string").alias("call_id"), none("long").alias("place"), F.lit("message").alias("status"), none("boolean").alias("valid"), F.lit("").alias("problems"), "json")

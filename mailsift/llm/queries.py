@@ -40,8 +40,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.derived(table(spark, sf_dir, "conversations"))
-    return chat.formatted(calls, results, chat.SCHEMAS)
+    turns = table(spark, sf_dir, "conversations")
+    calls, results = chat.derived(turns)
+    return chat.formatted(calls, results, chat.SCHEMAS).unionByName(chat.messages(turns))
 
 
 @query

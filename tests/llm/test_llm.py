@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from mailsift.llm import chat, common, embeddings, mixing, neighbours, personal, pieces, quality, sharding, tokencounts, tokenfiles
+from mailsift.llm import chat, common, embeddings, mixing, neighbours, personal, pieces, quality, queries, sharding, tokencounts, tokenfiles
 from mailsift.llm.components import components
 
 WORD = re.compile(common.WORD)
@@ -322,6 +322,23 @@ def test_derived_calls_and_empty_conversations(spark):
     assert chat.formatted(*chat.derived(turns.limit(0)), chat.SCHEMAS).count() == 0
 
 
+def test_chat_rows_hold_all_text_of_conversations(spark, tmp_path):
+    # turns 4, 5, 6 choose each of the tools
+    turns = [(1, 0, "system", "be brief."), (1, 1, "user", "one. two"), (2, 0, "user", "opening. words"), (None, None, None, "stray \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"))]
+    turns += [(c, k, "assistant", f"a{c}{k}. more \"{k}\"\n end.") for c, k in ((1, 2), (1, 4), (1, 6), (1, 7), (2, 1))] + [(1, 3, "user", "b. c"), (1, 5, "tool", "d. e"), (2, 2, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = queries.QUERIES["op5_chat_formatting"](spark, str(tmp_path)).collect()
+    held = []
+    for x in rows:
+        body = json.loads(x["json"])
+        found = [body[k].get("content") for k in ("message", "result") if k in body]
+        if "call" in body:
+            found += [body["call"]["arguments"][k] for k in ("query", "text") if k in body["call"]["arguments"]]
+        held += [(x["conv_id"], t) for t in found if t is not None]
+    assert sorted(held, key=str) == sorted([(t[0], t[3]) for t in turns if t[3] is not None], key=str)
+    assert {json.loads(x["json"])["message"]["turn"] for x in rows if x["status"] == "message"} == {0, 5, None}
+
+
 def test_trie_counts_equal_unigram_model():
     scores = tokencounts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
     model = Tokenizer(models.Unigram([("<unk>", 0.0), *scores.items()], unk_id=0))
