@@ -3,8 +3,8 @@
 The patterns (email, ip, card, phone) give base spans, which stay. The field looks at the rest of a text. Its segments are
 whole candidate spans: at most LONGEST tokens, scored by features of the span as a whole (digits, separators, checks, what
 stands before and after), or single tokens outside any entity. Boundaries and kinds are chosen together by dynamic
-programming over positions, bounded by the segment length. A segment without a digit or "@" cannot be an entity, so texts
-split into independent islands around these characters, and the programme runs within islands only.
+programming over positions, bounded by the segment length. A segment without a digit, "@" or written-out "@" cannot be an
+entity, so texts split into independent islands around these, and the programme runs within islands only.
 
 The field is trained on islands of a bounded sample of documents. Their labels are the base spans; each labelled island is
 also seen in altered forms that the patterns do not match (other separators, a written-out "@", a missing "+", digits in
@@ -35,11 +35,15 @@ MARGIN = 2.0
 #: Islands of a document that train the field, at most.
 ISLANDS = 8
 
-TRIGGER = "[0-9@]"
+#: A written-out "@": bracketed, or the word before a domain with a dot or a written-out dot. Python, Java and RE2 read these alike.
+WRITTEN = r"(?i:[(\[]at[)\]]|\bat [^\s.()\[\]]+ ?(?:\.[^\s.]|[(\[]dot[)\]]))"
+TRIGGER = f"(?:[0-9@]|{WRITTEN})"
+BRACKETED = re.compile(r"[(\[]at[)\]]", re.I)
+MARK = re.compile(rf"{WRITTEN}|(?i:[(\[]dot[)\]])")
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
+TOKEN = re.compile(r"[(\[](?:at|dot)[)\]]|[0-9]+|[^\W\d_]+|\s+|.", re.S | re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -95,9 +99,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def islands(text: str, taken: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int]]]:
-    """Rows of neighbouring tokens that can hold a segment with a digit or "@", clear of the spans in `taken`.
+    """Rows of neighbouring tokens that can hold a segment with a trigger, clear of the spans in `taken`.
 
-    A token is a run of digits, letters or blanks, or one other character. An island ends at a run of several blanks, at a
+    A token is a run of digits, letters or blanks, a bracketed "at" or "dot", or one other character. An island ends at a run of several blanks, at a
     line feed, beside a span, and where two words in a row have no trigger.
     """
     begins, ends = [], []  # of what the spans cover together
@@ -119,22 +123,30 @@ def islands(text: str, taken: list[tuple[int, int, str]]) -> Iterator[list[tuple
             start -= 1
             words += text[start] == " " and start + 1 < m.start()
         end, quiet = m.end(), 0
-        while end < high and quiet < 3 and text[end] != "\n":
+        while end < high and text[end] != "\n":
+            if text[end] in "([aA" and MARK.match(text, end):
+                quiet = 0
+            if quiet == 3:
+                break
             if text[end] in "0123456789@":
                 quiet = 0
             elif text[end] == " ":
                 quiet += 1
             end += 1
+        end = min(high, max(end, m.end()))
         last = end
         yield [(start + t.start(), start + t.end()) for t in TOKEN.finditer(text[start:end])]
 
 
 FEATURES = (
-    "bias", "at", "written_at", "at_outer", "domain", "dots", "plus", "open_bracket", "spaces", "hyphens", "digits_1_8", "digits_9_11", "digits_12_15", "digits_13_19", "digits_20",
+    "bias", "at", "written_at", "written_part", "at_outer", "domain", "dots", "plus", "open_bracket", "spaces", "hyphens", "digits_1_8", "digits_9_11", "digits_12_15", "digits_13_19", "digits_20",
     "luhn", "octets", "four_runs", "letters", "only_digits", "one_separator", "mixed_separators", "begins_blank", "ends_blank", "begins_sign", "ends_sign", "touches_left", "touches_right", "fours", "threes", "long_run", "digits_left", "digits_right",
 )
 OF = {name: i for i, name in enumerate(FEATURES)}
-WRITTEN_AT = re.compile(r"[\w.-]+ ?(?:\(at\)|\[at\]|\bat\b) ?[\w-]+(?:\.| ?\(dot\) ?| ?\[dot\] ?)[\w.-]+\Z", re.I)
+WRITTEN_DOT = r"(?:\.| ?[(\[]dot[)\]] ?)"
+WRITTEN_AT = re.compile(rf"[\w%+-]+(?:{WRITTEN_DOT}[\w%+-]+)* ?(?:[(\[]at[)\]]|\bat\b) ?[\w-]+(?:{WRITTEN_DOT}[\w-]+)+\Z", re.I)
+MORE_LEFT = re.compile(r"(?:[(\[]dot[)\]] ?|[\w.%+-])\Z", re.I)
+MORE_RIGHT = re.compile(r"[.-]?\w| ?[(\[]dot[)\]]", re.I)
 
 
 def features(text: str, start: int, end: int) -> list[int]:
@@ -152,7 +164,9 @@ def features(text: str, start: int, end: int) -> list[int]:
             on.append(name)
 
     mark("at", s.count("@") == 1 and 0 < s.find("@") < len(s) - 1)
-    mark("written_at", "@" not in s and WRITTEN_AT.match(s) is not None)
+    written = "@" not in s and WRITTEN_AT.match(s) is not None
+    mark("written_at", written)
+    mark("written_part", written and bool(MORE_LEFT.search(text[max(0, start - 6) : start]) or MORE_RIGHT.match(text, end)))
     mark("at_outer", s.count("@") > 1 or s[:1] == "@" or s[-1:] == "@")
     mark("domain", "." in s.rpartition("@")[2] and "@" in s)
     mark("dots", "." in s and not letters)
@@ -247,7 +261,7 @@ def altered(text: str, a: int, b: int, kind: str) -> list[tuple[str, int, int]]:
     before, s, after = text[max(0, a - 24) : a], text[a:b], text[b : b + 24]
     forms = [s]
     if kind == "email":
-        forms += [s.replace("@", " (at) "), s.replace("@", "[at]"), s.replace("@", " @ ")]
+        forms += [s.replace("@", " (at) "), s.replace("@", "[at]"), s.replace("@", " @ "), s.replace("@", " [at] ").replace(".", " [dot] ")]
     elif kind == "card":
         d = "".join(c for c in s if c.isdigit())
         forms += [sep.join(d[i : i + 4] for i in range(0, len(d), 4)) for sep in (".", "/", "  ")]
@@ -271,18 +285,20 @@ def examples(text: str) -> Iterator[tuple[int, list, set]]:
     for k, tokens in enumerate(islands(text, spans)):
         if k >= ISLANDS:
             break
-        yield len(tokens), segments(text, tokens), set()
+        if not BRACKETED.search(text, tokens[0][0], tokens[-1][1]):  # such an address has no label and is no evidence against itself
+            yield len(tokens), segments(text, tokens), set()
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = 40, ridge: float = 0.5) -> np.ndarray:
-    """Weights (kinds x features) from a sample of at most `sample` texts with a digit or "@", the first by hash.
+    """Weights (kinds x features) from a sample of at most `sample` texts with a trigger, the first by hash.
 
     The sample only trains the field; every document is decoded. Without any such text all weights are 0 but those that
     keep segments outside.
     """
     chosen = docs.where(F.col("text").rlike(TRIGGER)).select("text").distinct()
     found = chosen.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(sample)
-    trimmed = found.select("h", F.expr(f"array_join(slice(regexp_extract_all(text, '(?s).{{0,60}}{TRIGGER}.{{0,60}}', 0), 1, {ISLANDS}), '\\n')").alias("text"))
+    around = F.regexp_extract_all("text", F.lit(f"(?s).{{0,60}}{TRIGGER}.{{0,60}}"), F.lit(0))
+    trimmed = found.select("h", F.array_join(F.slice(around, 1, ISLANDS), "\n").alias("text"))
     data = [e for r in trimmed.collect() for e in examples(r["text"]) if e[1]]
     weights = np.zeros((len(KINDS), len(FEATURES)))
     weights[:, OF["bias"]] = -4.0

@@ -158,6 +158,26 @@ def test_field_adds_what_patterns_miss_and_masks(spark):
     assert personal.masked("to a@b.de or 10.0.0.1.", weights) == "to <EMAIL> or <IP>."
 
 
+def test_written_out_addresses_without_digits(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    texts = [f"Some {word()} here, mail {word()}.{word()}@{word()}.example.com or {word()}@{word()}.org now, at {word()} since {1900 + k}." for k in range(60)]
+    weights = personal.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    forms = {
+        "write to jane.doe (at) example.com for more": "write to <EMAIL> for more",
+        "write to jane [at] example [dot] org for more": "write to <EMAIL> for more",
+        "of 12 people jane.doe (at) example.com is one": "of 12 people <EMAIL> is one",
+        "Max.Muster[AT]mail.example.com": "<EMAIL>",
+    }
+    clean = ["we met at home. Then we left", "look (at) this", "nothing at all"]
+    docs = spark.createDataFrame(list(enumerate([*forms, *clean])), "doc_id long, text string")
+    assert [x["text"] for x in personal.mask(docs, weights).orderBy("doc_id").collect()] == [*forms.values(), *clean]
+    spans = [x["spans"] for x in personal.personal_data(docs, weights).orderBy("doc_id").collect()]
+    assert spans == ["email:9:34", "email:9:36", "email:13:38", "email:0:30", "", "", ""]
+    plain = "ask jane at example.com or jane at example (dot) org"
+    assert sum(len(x) > 0 for x in personal.islands(plain, [])) > 0 and {plain[x[i][0] : x[j - 1][1]] for x in personal.islands(plain, []) for i, j, _ in personal.segments(plain, x)} >= {"jane at example.com", "jane at example (dot) org"}
+
+
 def test_personal_edges(odd, empty):
     weights = np.zeros((len(personal.KINDS), len(personal.FEATURES))) - 1
     rows = [r for r in personal.personal_data(odd, weights).collect() if r["doc_id"] == 11]
