@@ -438,10 +438,6 @@ def nmi(spark, sf):
 # any right result; the tests look at the results themselves
 
 
-def _small_trees(rows):
-    return models.boosted_trees(rounds=2, depth=4)
-
-
 @query
 def oof_logistic(spark, sf):
     """Every row once, in its fold, with a probability."""
@@ -452,17 +448,22 @@ def oof_logistic(spark, sf):
 @query
 def oof_gbt(spark, sf):
     base = evaluate.base_features(_clean(spark, sf))
-    return evaluate.out_of_fold(base, ["fused"], max_features=100, make_classifier=_small_trees)
+    return evaluate.out_of_fold(base)
 
 
 @query
 def holdout_eval(spark, sf):
     base = evaluate.base_features(_clean(spark, sf))
-    scores = evaluate.held_out(base, max_features=100, make_classifier=_small_trees)
+    scores = evaluate.held_out(base)
     # stored, as the measures read the scores several times and every reading would run the models
     return metrics.evaluation(write_and_read(scores, "scores"), ["feature_set"])
 
 
+@query
+def train_test_evaluation(spark, sf):
+    return evaluate.train_test_evaluation(evaluate.base_features(_clean(spark, sf)))
+
+
 @query
 def grid_search(spark, sf):
     emails = write_and_read(_clean(spark, sf).select("email_id", "label", "body_clean"), "grid-texts")

@@ -1,10 +1,12 @@
 """Whole jobs on small inputs: cleaning from a CSV file, evaluation, search, and queries next to their SQL."""
 
+import inspect
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from mailsift.functions.missing import strict_label
 from mailsift.operators import clusters, models
 from mailsift.plans import clean, cluster_report, evaluate, grid
@@ -190,3 +192,23 @@ def test_csv_keeps_outer_blanks(spark, tmp_path):
     df = spark.createDataFrame([(1, "  a b "), (2, "\tq")], "email_id long, urls string")
     email_files.write_clean(df, str(tmp_path / "out"), "csv")
     assert [r["urls"] for r in email_files.read_emails(spark, str(tmp_path / "out")).orderBy("email_id").collect()] == ["  a b ", "\tq"]
+
+
+@pytest.mark.parametrize("name, plan", [("oof_gbt", "out_of_fold"), ("holdout_eval", "held_out"), ("train_test_evaluation", "train_test_evaluation")])
+def test_registered_evaluations_have_the_full_settings(monkeypatch, name, plan):
+    seen = []
+    signature = inspect.signature(getattr(evaluate, plan))
+
+    def record(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(evaluate, plan, record)
+    monkeypatch.setattr(evaluate, "base_features", lambda clean: clean)
+    monkeypatch.setattr(queries, "_clean", lambda *_: None)
+    with pytest.raises(InterruptedError):
+        queries.QUERIES[name](None, "")
+    assert seen[0]["feature_sets"] == evaluate.assemble.FEATURE_SETS and seen[0]["max_features"] == 1000
+    assert seen[0]["make_classifier"] is evaluate.default_classifier
