@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import chat, embeddings, mixing, neighbours, personal, pieces, quality, sharding, tokencounts, tokenfiles
+from mailsift.llm import chat, embeddings, lexical, lines, mixing, neighbours, personal, pieces, quality, sharding, spelling, tokencounts, tokenfiles
 from mailsift.llm.common import table
 
 QUERIES = {}
@@ -69,3 +69,46 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# whole numbers in DuckDB's // round down, as these are not negative
+ORACLE["op12_lexical_search"] = r"""
+WITH lowered AS (
+    SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+found AS (
+    SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lowered),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, whole GROUP BY term),
+wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+scores AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (r), whole
+    GROUP BY item_id, r, doc_id),
+placed AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+    FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 50
+"""
