@@ -31,6 +31,8 @@ TOP = 50
 TERMS = 1 << 20
 #: Documents of a tree, and of a leaf.
 BLOCK, LEAF = 4096, 32
+#: Entries of documents of a tree: with long documents it has fewer of them.
+ENTRIES = 2_000_000
 #: Bounds are larger by this part than computed, and by one. Sums of some thousand doubles lose less than 1e-12.
 SLACK = 1e-9
 
@@ -193,7 +195,7 @@ def searched(found: DataFrame, queries: list[np.ndarray], weights: np.ndarray, n
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(top) for _ in queries]
-        held, rows = [], 0
+        held, rows, entries = [], 0, 0
 
         def build() -> None:
             table = pa.Table.from_batches(held).combine_chunks()
@@ -216,11 +218,13 @@ def searched(found: DataFrame, queries: list[np.ndarray], weights: np.ndarray, n
                 wanted[query] = False
 
         for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= BLOCK:
-                build()
-                held, rows = [], 0
+            for a in range(0, len(batch), LEAF):
+                part = batch.slice(a, LEAF)
+                held.append(part)
+                rows, entries = rows + len(part), entries + len(part.column("term").flatten())
+                if rows >= BLOCK or entries >= ENTRIES:
+                    build()
+                    held, rows, entries = [], 0, 0
         if held:
             build()
         out = [(k, -i if known else None, score) for k, b in enumerate(best) for score, known, i in b.heap]
