@@ -436,6 +436,56 @@ def test_near_vectors_equal_all_pairs(spark, tile):
         assert (found[i]["n_links"], found[i]["component_id"], found[i]["kept"]) == (near[i].sum(), root[i], root[i] == i)
 
 
+def links_of(rows, **settings):
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(rows.repartition(4), **settings).collect()}
+
+
+def expected_links(vectors):
+    near = linked_brute(vectors, 0.95)
+    root = np.arange(len(vectors))
+    while True:
+        new = np.array([min([root[i], *root[near[i]]]) for i in range(len(root))])
+        if (new == root).all():
+            return {i: (int(near[i].sum()), int(root[i])) for i in range(len(vectors))}
+        root = new
+
+
+@pytest.mark.parametrize(("cell", "tile"), [(8, 4096), (8, 20), (64, 50)])
+def test_near_vectors_in_many_cells(spark, cell, tile):
+    r = np.random.default_rng(12)
+    vectors = r.normal(size=(900, 19))
+    vectors[300:600] = vectors[:300] + r.normal(size=(300, 19)) * 0.2  # on both sides of the threshold
+    vectors[600:700] = vectors[0] + r.normal(size=(100, 19)) * 0.1
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors.astype(np.float32))]
+    expected = expected_links(vectors.astype(np.float32).astype(np.float64))
+    assert any(n == 0 for n, _ in expected.values()) and sum(n for n, _ in expected.values()) > 5000
+    assert links_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell=cell, tile=tile) == expected
+
+
+def test_vectors_of_two_widths(spark):
+    r = np.random.default_rng(13)
+    rows = [(i, [1.0, 2.0, 3.0 + i / 100]) for i in range(5)] + [(9, [1.0, 2.0, 3.0, 0.0])] + [(20 + i, r.normal(size=4).tolist()) for i in range(3)]
+    found = links_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert all(found[i] == (4, 0) for i in range(5)) and found[9] == (0, 9)
+
+
+def test_many_equal_vectors_are_compared_as_one(spark):
+    r = np.random.default_rng(14)
+    one = r.normal(size=16)
+    rows = [(i, one.tolist()) for i in range(5000)] + [(5000 + i, (one + 0.01 * r.normal(size=16)).tolist()) for i in range(3)] + [(6000 + i, r.normal(size=16).tolist()) for i in range(50)]
+    found = links_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert all(found[i] == (5002, 0) for i in range(5003))
+    assert sum(n for i, (n, _) in found.items() if i >= 6000) == 0
+
+
+def test_first_step_compares_a_part_of_all_pairs():
+    r = np.random.default_rng(15)
+    turned = embeddings.unit(r.normal(size=(4000, 64)))
+    block, budget = turned[:, :8], 0.1 / 8
+    sent = sum(len(rows) for rows, *_ in embeddings.reached(block, 8, budget))
+    assert sent < 20 * len(block)  # copies of a vector in a block, its own included, at the finest cut
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [], 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, None], 1), (8, [1e300, 1e300], 1), (9, [float("inf"), 0.0], 1), (10, [1.0], 1), (None, [1.0, 0.0], 1), (1, [1.0, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
