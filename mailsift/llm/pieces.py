@@ -6,12 +6,13 @@ merged, so it becomes a BPE model whose merges are the pairs of pieces that join
 
 Texts are encoded in whole batches of their distinct parts on several threads. Parts are cut before a blank that follows
 another character, and only if no piece of the model has a blank after another character, so that no piece can cross a cut.
-Each distinct part's ids are compared with those of the sentencepiece library, and each text is decoded again.
+Each distinct part's ids are compared with those of the sentencepiece library and decoded again, which holds for whole texts then.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 from mailsift.llm import common
 
 MARK = "▁"
-#: Parts whose ids a worker remembers; beyond this it starts anew.
-REMEMBERED = 150_000
+#: Parts whose ids a worker remembers; beyond this it starts anew. A million parts of six letters take some 250 MB.
+REMEMBERED = 700_000
 
 
 def parsed(path: str) -> sentencepiece_model_pb2.ModelProto:
@@ -85,37 +86,46 @@ class Codec:
         self.tidy = model.normalizer_spec.remove_extra_whitespaces
         self.charsmap = bool(model.normalizer_spec.precompiled_charsmap)
         inner = [p.piece.lstrip(MARK) for p in model.pieces]
-        self.cuttable = not self.tidy and not self.charsmap and not any(MARK in p for p in inner)
+        # a cut needs that no piece reaches across it, nor bytes of a marker that is no piece itself
+        self.cuttable = not self.tidy and not self.charsmap and not any(MARK in p for p in inner) and any(p.piece == MARK for p in model.pieces)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.starts, self.same = np.zeros(0, np.int32), [0], []
+        self.ids, self.ends, self.same, self.back = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool)
 
-    def pairs(self, parts: list[str]) -> Iterator[tuple[list[int], bool]]:
-        """The ids of each part, and whether sentencepiece gives the same. A marker in a text is an ordinary character, but
-        cannot be told from a blank by either library."""
-        ours = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def learn(self, parts: list[str]) -> None:
+        """Encode, compare and decode parts that are not known yet. A marker in a text is an ordinary character, but cannot be told from a
+        blank by either library."""
+        ours = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         # the reference puts a marker in front of what it encodes, so it gets parts without theirs
-        bare = [p[1:] if self.prefix and p[:1] in (" ", MARK) else p for p in parts]
-        theirs = self.reference.encode(bare, num_threads=1)
-        for part, own, other in zip(parts, ours, theirs, strict=True):
-            plain = not self.prefix or part[:1] in (" ", MARK)
-            yield own.ids, own.ids == other if plain and part[1:] else own.ids == self.reference.encode(part) if not plain else True
+        plain = [not self.prefix or p[:1] in (" ", MARK) for p in parts]
+        theirs = self.reference.encode([p[1:] if self.prefix and ok else p for p, ok in zip(parts, plain, strict=True)], num_threads=1)
+        same = [not (ok and self.prefix and not p[1:]) and own == other or ok and self.prefix and not p[1:] for p, ok, own, other in zip(parts, plain, ours, theirs, strict=True)]
+        decoded = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
+        back = [d == p.replace(MARK, " ") if MARK in p else d == p for d, p in zip(decoded, parts, strict=True)]
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        lengths = np.fromiter(map(len, ours), np.int64, len(ours))
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ours), np.int32, int(lengths.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.same, self.back = np.append(self.same, np.array(same, bool)), np.append(self.back, np.array(back, bool))
 
     def places(self, distinct: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self.known, self.ids, self.starts, self.same = {}, np.zeros(0, np.int32), [0], []
-        new = [x for x in distinct if x not in self.known]
-        held = [self.ids]
-        for a in range(0, len(new), 20_000):
-            for part, (ids, same) in zip(new[a : a + 20_000], self.pairs(new[a : a + 20_000]), strict=True):
-                self.known[part] = len(self.starts) - 1
-                held.append(np.array(ids, np.int32))
-                self.starts.append(self.starts[-1] + len(ids))
-                self.same.append(same)
-        self.ids = np.concatenate(held)
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, how many each has, whether each one's parts have parity)."""
+            self.forget()
+        found = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            found[missing] = np.arange(len(self.known), len(self.known) + len(missing))
+            new = [distinct[k] for k in missing.tolist()]
+            for a in range(0, len(new), 20_000):
+                self.learn(new[a : a + 20_000])
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many each has, whether each one's parts have parity, whether they come back by decoding).
+
+        Ids are decoded piece by piece and only bytes in a row are joined, so a text comes back if each of its parts does."""
         marked = [(" " + t if self.prefix and t else t) for t in texts]
         data, offsets = common.text_bytes(pa.array(marked, pa.large_string()))
         blank = data == 32
@@ -126,23 +136,15 @@ class Codec:
         at = np.flatnonzero(cut)
         parts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         place = self.places(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
-        starts = np.array(self.starts)
-        first, n = starts[place], starts[place + 1] - starts[place]
+        first, n = self.ends[place], self.ends[place + 1] - self.ends[place]
         ids = self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         docs = np.searchsorted(at[:-1], offsets)
-        differs = ~np.array(self.same, bool)[place] if len(place) else np.zeros(0, bool)
-        return ids, common.sums(n, docs), common.sums(differs, docs) == 0
+        return ids, common.sums(n, docs), common.sums(~self.same[place], docs) == 0, common.sums(~self.back[place], docs) == 0
 
     def decode(self, ids: list[int]) -> str:
         text = self.tokenizer.decode(ids, skip_special_tokens=False)
         return text[1:] if self.prefix and text[:1] == " " else text
 
-    def restored(self, texts: list[str], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Whether each text comes back from its ids. Markers come back as blanks."""
-        ends = np.cumsum(n).tolist()
-        decoded = self.tokenizer.decode_batch([ids[b - k : b].tolist() for b, k in zip(ends, n.tolist(), strict=True)], skip_special_tokens=False)
-        return np.array([d[bool(self.prefix and t) :] == t.replace(MARK, " ") for d, t in zip(decoded, texts, strict=True)], bool)
-
 
 def after_mark(data: np.ndarray) -> np.ndarray:
     """For each byte but the first, whether it follows the marker character, which is as a blank to the model."""
@@ -167,10 +169,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.gathered(batches, size=common.CHUNK // 4):
-            texts = rows["text"].combine_chunks().fill_null("").to_pylist()
-            ids, n, parity = codec(path).encode(texts)
-            restored = codec(path).restored(texts, ids, n)
+        for rows in common.gathered(batches):
+            ids, n, parity, restored = codec(path).encode(rows["text"].combine_chunks().fill_null("").to_pylist())
             ends = np.append(0, np.cumsum(n))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

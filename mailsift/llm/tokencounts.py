@@ -28,8 +28,8 @@ UNKNOWN = 10.0
 class Trie:
     """Pre-tokens seen so far, with the forward score and the number of pieces of every prefix."""
 
-    def __init__(self, scores: dict[str, float]):
-        self.scores = scores
+    def __init__(self, scores: dict[str, float], by_bytes: bool = False):
+        self.scores, self.by_bytes = scores, by_bytes
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
         self.clear()
@@ -39,8 +39,8 @@ class Trie:
         self.forward, self.pieces, self.after_unknown = [0.0], [0], [False]
 
     def count(self, word: str) -> int:
-        """The number of pieces in the word's best segmentation. Of equal scores the longest last piece wins; characters
-        without a piece in a row are one piece."""
+        """The number of pieces in the word's best segmentation. Of equal scores the longest last piece wins. Characters
+        without a piece are a piece for each of their bytes if the model has these, else one piece in a row."""
         path = [0]
         node, children = 0, self.children
         for end in range(1, len(word) + 1):
@@ -62,7 +62,8 @@ class Trie:
         previous, known = path[end - 1], word[end - 1 : end] in self.scores
         if not known and self.forward[previous] + self.unknown > best:
             self.forward.append(self.forward[previous] + self.unknown)
-            self.pieces.append(self.pieces[previous] + (not self.after_unknown[previous]))
+            more = len(word[end - 1].encode()) if self.by_bytes else not self.after_unknown[previous]
+            self.pieces.append(self.pieces[previous] + more)
             self.after_unknown.append(True)
         else:
             self.forward.append(best)
@@ -78,7 +79,7 @@ def piece_scores(path: str) -> dict[str, float]:
 @functools.cache
 def trie(path: str) -> tuple[Trie, dict[str, int]]:
     """One for each worker process, with the counts at terminals."""
-    return Trie(piece_scores(path)), {}
+    return Trie(piece_scores(path), parsed(path).trainer_spec.byte_fallback), {}
 
 
 def counted(texts: pa.ChunkedArray, planted: Trie, terminal: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,10 @@ def counted(texts: pa.ChunkedArray, planted: Trie, terminal: dict[str, int]) ->
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_words, n_tokens) for each row of `docs`. A null or empty text has none; other columns are not read."""
+    """(doc_id, n_words, n_tokens) for each row of `docs`. A null or empty text has none; other columns are not read.
+
+    A character without a piece counts as its UTF-8 bytes where the model falls back to bytes, as the given one does.
+    """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

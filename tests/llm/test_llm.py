@@ -16,6 +16,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer, models
 
 from mailsift.llm import chat, common, embeddings, mixing, neighbours, personal, pieces, quality, queries, sharding, tokencounts, tokenfiles
@@ -269,14 +270,59 @@ def test_sentencepiece_parity_and_round_trip():
     codec = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
     processor = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = ["", "  two  blanks ", "\n\nx", "日本語 é ☃ 😀", "▁a ▁b", "a  b", "<s> hi </s>", "x\ty", "é ﬁ", " ", "a ", "Plain words, and more: 12.5%!"]
-    ids, n, parity = codec.encode(texts)
+    ids, n, parity, restored = codec.encode(texts)
     ends = np.cumsum(n)
     assert [ids[b - k : b].tolist() for b, k in zip(ends, n, strict=True)] == processor.encode(texts)
-    assert parity.all() and codec.restored(texts, ids, n).all()
+    assert parity.all() and restored.all()
     for text, b, k in zip(texts, ends, n, strict=True):
         assert codec.decode(ids[b - k : b].tolist()) == text.replace("▁", " ")
 
 
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """A small unigram model with byte fallback, written out by hand."""
+    model = sentencepiece_model_pb2.ModelProto()
+    add = lambda piece, score, kind: model.pieces.add(piece=piece, score=score, type=kind)
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(piece, 0.0, kind)
+    for k in range(256):
+        add(f"<0x{k:02X}>", 0.0, 6)
+    for k, piece in enumerate(["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "aba", "é", "▁é", "abab"]):
+        add(piece, -1.0 - k * 0.37, 1)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.unk_id = 1, True, 0
+    spec = model.normalizer_spec
+    spec.name, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "identity", True, False, True
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def test_unigram_model_with_byte_fallback(spark, unigram):
+    r = random.Random(21)
+    texts = ["", "abab", "é☃ b", "日本 ab", "☃☃", " a  b "] + ["".join(r.choice("aabbé☃ 😀") for _ in range(r.randint(0, 25))) for _ in range(300)]
+    codec, processor = pieces.Codec(unigram), sentencepiece.SentencePieceProcessor(model_file=unigram)
+    ids, n, parity, restored = codec.encode(texts)
+    assert [ids[b - k : b].tolist() for b, k in zip(np.cumsum(n), n, strict=True)] == processor.encode(texts)
+    assert parity.all() and restored.all()
+    words = [" ".join(t.split()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    counts = {x["doc_id"]: x["n_tokens"] for x in tokencounts.token_counts(docs, unigram).collect()}
+    assert [counts[i] for i in range(len(words))] == [sum(len(processor.encode(w)) for w in t.split()) for t in words]
+
+
+def test_uncovered_characters_count_as_bytes():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert tokencounts.counted(pa.array(["𓀀" * 50]), *tokencounts.trie(path))[1].tolist() == [201] == [len(sentencepiece.SentencePieceProcessor(model_file=path).encode("𓀀" * 50))]
+
+
+def test_sentencepiece_forgets_without_change(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 10)
+    codec = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    first = [x.tolist() for x in codec.encode(["some words of a text"] * 3 + ["other words"])]
+    codec.encode([" ".join(f"w{k}" for k in range(50))])
+    assert [x.tolist() for x in codec.encode(["some words of a text"] * 3 + ["other words"])] == first
+
+
 def test_sentencepiece_edges(spark, odd, empty):
     rows = pieces.encoded(odd).collect()
     assert len(rows) == odd.count() and all(r["parity"] and r["restored"] for r in rows)
@@ -532,6 +578,28 @@ def test_near_copies_equal_all_pairs(spark):
     assert sorted(x["doc_id"] for x in neighbours.keep_one(docs).collect()) == sorted(set(brute_components(texts)))
 
 
+def test_one_row_stays_also_where_ids_repeat_or_are_null(spark):
+    a, b = "one two three four five six seven eight", "another text that has nothing in common with the first one at all"
+    rows = [(1, a), (1, a), (None, a), (None, a), (1, b), (2, b), (None, b), (3, None), (3, None), (4, ""), (1, "a third text with some other words in it")]
+    kept = neighbours.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (3, None), (3, None), (4, ""), (1, "a third text with some other words in it")], key=str)
+    nameless = neighbours.keep_one(spark.createDataFrame([(None, a), (None, a), (None, a + " nine")], "doc_id long, text string")).collect()
+    assert len(nameless) == 1
+
+
+def test_postings_are_made_and_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    sizes = spark.createDataFrame([(1, 3, 1)], "class long, n long, doc_id long")
+    plan = neighbours.possible(docs, sizes, 80)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("hashpartitioning(shingle") == 1
+
+
+def test_documents_are_chosen_alike_beyond_the_bound(spark, odd):
+    ids = spark.createDataFrame([(1,), (12,), (99,)], "doc_id long")
+    few, many = (sorted(map(str, neighbours.chosen(odd, ids, most).collect())) for most in (10, 0))
+    assert few == many and len(few) == 4  # with the row without an id
+
+
 def test_near_copies_of_eight_and_nine_words(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "some other words that nothing else has here")], "doc_id long, text string")
     assert {x["doc_id"]: x["component_id"] for x in neighbours.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
