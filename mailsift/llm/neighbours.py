@@ -20,17 +20,19 @@ classes, the sets that differ; texts with equal sets meet in their class without
 from __future__ import annotations
 
 import heapq
+import os
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.llm import common
 from mailsift.llm.components import components
-from mailsift.session import write_and_read
+from mailsift.session import shared_folder, write_and_read
 
 SIZE = 5
 #: Links need this many hundredths of the union in common.
@@ -41,6 +43,8 @@ FREQUENT = 1 << 17
 GATHERED = 1_000_000
 #: Classes that one search takes beside its query.
 MEMBERS = 500
+#: Ids of documents that are sent to all tasks, at most.
+SENT = 4_000_000
 #: Rounds in which lists are tried against one of their classes, before all pairs across components.
 STARS = 2
 
@@ -155,20 +159,42 @@ def posted(percent: int):
 def possible(docs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Classes (class, n, doc_id) that may have a partner. A class met in several tasks may be counted more than once, which
     keeps it needlessly at worst."""
-    # both uses below read the same columns, so that this is shuffled once
+    # shuffled once: a window sees all postings of a shingle and leaves each with what it has met
     postings = docs.select("text").mapInArrow(posted(percent), "class long, shingle long, n long").repartition("shingle")
-    named = F.when(F.col("n") == 0, F.col("class"))
-    met = postings.groupBy("shingle").agg(F.min(named).alias("low"), F.max(named).alias("high"), F.count_if(F.col("n") == 0).alias("rows"), F.count(named).alias("named"))
+    named, of = F.when(F.col("n") == 0, F.col("class")), Window.partitionBy("shingle")
     # a shingle of several classes: two of them here, or one marked so by its task
-    met = met.where("low <> high OR rows > named").select("shingle", F.lit(1).alias("met"))
-    counts = postings.join(met.hint("shuffle_hash"), "shingle", "left")
-    counts = counts.groupBy("class").agg(F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(F.coalesce("met", F.lit(0)))).alias("k"))
+    several = (F.min(named).over(of) != F.max(named).over(of)) | (F.count_if(F.col("n") == 0).over(of) > F.count(named).over(of))
+    met = F.when(F.col("n") > 0, F.col("n")).otherwise(F.coalesce(several, F.lit(False)).cast("long"))
+    counts = postings.select("class", met.alias("k")).groupBy("class").agg(F.sum("k").alias("k"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     more = F.floor(spare / 2) if percent >= 50 else F.lit(0)  # as `further`
     taken = F.least(F.col("n"), spare + 1 + more)
     return counts.join(sizes, "class").where(F.col("k") >= taken - spare).select("class", "n", "doc_id")
 
 
+def chosen(docs: DataFrame, ids: DataFrame, most: int = SENT) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `ids`, or null. Up to `most` ids, as counted, go to all tasks, so that no text is shuffled;
+    beyond that the texts are."""
+    ids = ids.select("doc_id")
+    if ids.count() <= most:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Store the rows in the shared folder, dealt out and sorted by `key`, which joins and groups by it then need not do again."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = os.path.join(shared_folder(spark), name)
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows where `bucketed` wants them, so that each task writes one file."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def classed(docs: DataFrame) -> DataFrame:
     """(doc_id, n, class) of each row."""
 
@@ -314,7 +340,9 @@ def tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes that have the same components as all links together."""
-    posts = write_and_read(prefixes(sets, percent), "jaccard-prefixes")
+    # a shingle that one class alone looks up leads nowhere
+    posts = dealt(prefixes(sets, percent), "shingle").withColumn("k", F.count("*").over(Window.partitionBy("shingle")))
+    posts = bucketed(posts.where("k > 1").drop("k"), "shingle", "jaccard_prefixes")
     # if a shingle is the first in order that both have, neither has more in common than what follows it
     common_ = F.col("n") + F.col("an")
     enough = ((100 + percent) * (F.col("n") - F.col("place")) >= percent * common_) & ((100 + percent) * (F.col("an") - F.col("a_place")) >= percent * common_)
@@ -328,11 +356,13 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
         )
         pairs = lists.join(heads.where("low <> high"), "shingle").where(F.col("root") != F.col("a_root")).where(enough)
         links, past = trial(pairs.select("a", F.col("class").alias("b")), links, past, sets, percent)
-        roots = components(links, f"jaccard-star-{turn}")
-        labelled = posts.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        labelled = labelled.select("shingle", "class", "n", "place", F.coalesce("root", "class").alias("root"))
-        several = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        lists = write_and_read(labelled.join(several.select("shingle"), "shingle", "left_semi"), "jaccard-lists")
+        roots = components(links, f"jaccard-star-{turn}").withColumnRenamed("node", "class")
+        if roots.count() <= SENT // 4:  # as counted; beyond that the lists are shuffled
+            roots = F.broadcast(roots)
+        labelled = posts.join(roots, "class", "left").select("shingle", "class", "n", "place", F.coalesce("root", "class").alias("root"))
+        of = Window.partitionBy("shingle")
+        several = dealt(labelled, "shingle").withColumn("several", F.min("root").over(of) != F.max("root").over(of))
+        lists = bucketed(several.where("several").drop("several"), "shingle", "jaccard_lists")
     other = lists.select("shingle", F.col("class").alias("a"), F.col("n").alias("an"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
     across = lists.withColumnRenamed("class", "b").join(other, "shingle").where("a < b AND root <> a_root").where(enough)
     return trial(across.select("a", "b"), links, past, sets, percent)[0]
@@ -358,14 +388,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = write_and_read(classed(docs), "jaccard-classes")
     sizes = rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"))
-    alive = write_and_read(possible(docs, sizes, percent), "jaccard-possible")
-    chosen = docs.join(alive.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
-    chosen = chosen.union(docs.where("doc_id IS NULL"))
-    sets = whole_sets(chosen).dropDuplicates(["class"]).where("n > 0")
-    sets = write_and_read(sets, "jaccard-sets")
-    links = class_links(sets, percent)
-    roots = components(links, "jaccard")
-    grouped = sizes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    grouped = sizes.select("class", "doc_id").join(class_roots(docs, sizes, percent), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = grouped.where("doc_id IS NOT NULL OR root <> class").join(smallest, "root").select("class", "component_id")
     out = rows.join(of_class, "class", "left")
@@ -373,7 +396,30 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def class_roots(docs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(class, root) of the classes with links. `sizes` has (class, n, doc_id), doc_id being that of one of its rows."""
+    alive = write_and_read(possible(docs, sizes, percent), "jaccard-possible")
+    sets = dealt(whole_sets(chosen(docs, alive.where("doc_id IS NOT NULL"))).where("n > 0"), "class").dropDuplicates(["class"])
+    sets = bucketed(sets, "class", "jaccard_sets")
+    return components(class_links(sets, percent), "jaccard").withColumnRenamed("node", "class")
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose doc_id is that of their component, one row for each id; rows without an id stay."""
-    found = near_copies(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One row of `docs` for each group of near copies: the first by doc_id (a null one last), of equal ids the first by text.
+
+    Rows without a shingle (null, empty and blank texts) are in no group and all stay, also if they repeat. Ids decide nothing
+    else: a row whose id repeats goes only if its own text is in a group of which another row stays.
+    """
+    # each row carries a number of its own, as rows may be alike in id and text; it is stored, so that it stays what it is
+    marked = write_and_read(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+    numbered = marked.select(F.col("__row").alias("doc_id"), "text")
+    own = write_and_read(classed(numbered).where("n > 0"), "jaccard-classes")
+    sizes = own.groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"))
+    roots = class_roots(numbered, sizes, percent)
+    rows = own.select(F.col("doc_id").alias("__row"), "class").join(roots, "class", "left").select("__row", F.coalesce("root", "class").alias("root"))
+    rows = rows.join(marked.select("__row", "doc_id", F.xxhash64("text").alias("h")), "__row")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = write_and_read(rows.select("__row").join(first, "__row", "left_anti"), "jaccard-gone")
+    if gone.count() <= SENT:
+        gone = F.broadcast(gone)
+    return marked.join(gone, "__row", "left_anti").drop("__row")
