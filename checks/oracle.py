@@ -454,6 +454,10 @@ ORACLE: dict[str, str] = {
     # facts that hold for every right result of these learners
     "oof_logistic": f"""WITH e AS (SELECT vec_id, CAST(label >= 5 AS BIGINT) AS label FROM embeddings), {dealt_folds('e', 'vec_id')}
         SELECT vec_id, label, CAST(fold AS BIGINT) AS fold, 1::BIGINT AS scored FROM folded""",
+    "oof_gbt": f"""WITH {EMAILS}, {DEDUP}, marked AS (SELECT email_id, CAST(label AS BIGINT) AS label FROM kept WHERE label IS NOT NULL),
+        {dealt_folds('marked', 'email_id')}
+        SELECT email_id, label, CAST(fold AS BIGINT) AS fold, feature_set, 1::BIGINT AS scored
+        FROM folded, (VALUES ('pure_bert'), ('pure_tfidf'), ('fused')) AS sets(feature_set)""",
     "kmeans_best": """SELECT vec_id, CAST(label >= 5 AS BIGINT) AS label, 1::BIGINT AS at_nearest, 1::BIGINT AS at_mean
         FROM embeddings""",
     "pca_2d": """SELECT count(*) AS n_rows, 0::DOUBLE AS mean_pc1, 0::DOUBLE AS mean_pc2, 0::DOUBLE AS covariance,

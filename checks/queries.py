@@ -447,8 +447,10 @@ def oof_logistic(spark, sf):
 
 @query
 def oof_gbt(spark, sf):
-    base = evaluate.base_features(_clean(spark, sf))
-    return evaluate.out_of_fold(base)
+    """Every row once for each feature set, in its fold, with a probability."""
+    scores = write_and_read(evaluate.out_of_fold(evaluate.base_features(_clean(spark, sf))), "scores")
+    scored = F.coalesce(F.col("prob").between(0, 1), F.lit(False)).alias("scored")
+    return scores.select("email_id", "label", "fold", "feature_set", scored)
 
 
 @query

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .boost import Booster
 
 
 def boosted_trees(rounds: int = 150, rate: float = 0.08, depth: int = 6, seed: int = 42) -> GBTClassifier:
+    """MLlib's trees, fitted on all rows. The evaluations use `Booster` unless told otherwise."""
     return GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, labelCol="label")
 
 
@@ -41,8 +43,10 @@ def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight")
     return df.withColumn(out, choice)
 
 
-def fit_and_score(classifier: Estimator, train: DataFrame, held_out: DataFrame, keep: list[str]) -> DataFrame:
+def fit_and_score(classifier: Estimator | Booster, train: DataFrame, held_out: DataFrame, keep: list[str]) -> DataFrame:
     """Fit on `train`, score `held_out`: the columns `keep` and `prob`, the probability of class 1."""
+    if isinstance(classifier, Booster):
+        return classifier.fit_and_score(train, held_out, keep)
     if classifier.hasParam("checkpointInterval"):  # the boosted trees cut their lineage there
         shared_folder(train.sparkSession)
     model = classifier.fit(train)

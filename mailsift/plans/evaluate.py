@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import blank_sentinel, number_or_zero, strict_label
 from ..operators import assemble, embed, folds, metrics, models, scale, tfidf
+from ..operators.boost import Booster
 from ..session import write_and_read
 
-MakeClassifier = Callable[[int], Estimator]
+MakeClassifier = Callable[[int], Estimator | Booster]
 
 
-def default_classifier(rows: int) -> Estimator:
-    """Boosted trees at their default settings, which do not depend on the number of rows."""
-    return models.boosted_trees()
+def default_classifier(rows: int) -> Booster:
+    """Boosted trees at their default settings, fitted on at most the rows that `Booster.sample` names."""
+    return Booster()
 
 
 def base_features(

@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from mailsift.functions.ngrams import tokens
-from mailsift.operators import assemble, clusters, dedup, embed, folds, lookup, metrics, models, scale, tfidf
+from mailsift.operators import assemble, boost, clusters, dedup, embed, folds, lookup, metrics, models, scale, tfidf
 
 
 def test_dedup_keeps_the_first(spark):
@@ -382,3 +382,70 @@ def test_evaluation_without_scores_stays(spark):
     found = {r["part"]: r for r in metrics.evaluation(df, ["part"]).collect()}
     assert found["a"]["roc_auc"] == 1
     assert found["b"]["roc_auc"] is None and found["b"]["tp"] == 0
+
+
+def plain_boost(x, y, rounds, rate, depth, penalty=1.0, least=1.0):
+    """Boosted trees by looking at every split of every feature, row by row; zeros are absent. The scores of the rows."""
+    share = sum(y) / len(y)
+    margin = [math.log(share / (1 - share))] * len(y)
+
+    def grow(rows, g, h, left):
+        total_g, total_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        best, found = 1e-10, None
+        if left:
+            for f in range(len(x[0])):
+                for absent in (False, True):
+                    for cut in sorted({x[i][f] for i in rows} - {0}):
+                        side = [i for i in rows if (absent if x[i][f] == 0 else x[i][f] <= cut)]
+                        a, b = sum(g[i] for i in side), sum(h[i] for i in side)
+                        if b < least or total_h - b < least:
+                            continue
+                        gain = a * a / (b + penalty) + (total_g - a) ** 2 / (total_h - b + penalty) - total_g**2 / (total_h + penalty)
+                        if gain > best + 1e-9:
+                            best, found = gain, side
+        if found is None:
+            return dict.fromkeys(rows, -rate * total_g / (total_h + penalty))
+        inside = set(found)
+        return {**grow(found, g, h, left - 1), **grow([i for i in rows if i not in inside], g, h, left - 1)}
+
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        steps = grow(list(range(len(y))), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], depth)
+        margin = [m + steps[i] for i, m in enumerate(margin)]
+    return [1 / (1 + math.exp(-m)) for m in margin]
+
+
+def entries_of(x):
+    present = x != 0
+    return np.append(0, present.sum(axis=1).cumsum()), np.nonzero(present)[1], x[present]
+
+
+def test_booster_equals_plain_one():
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(60, 4)), 2) * (r.random((60, 4)) < 0.7)  # distinct values, a third of them absent
+    y = ((x[:, 0] > 0.1) ^ (x[:, 2] == 0)).astype(float)
+    settings = boost.Booster(rounds=6, rate=0.3, depth=3)
+    trees = boost.grown(*entries_of(x), 4, y, settings)
+    assert trees.score(*entries_of(x)) == pytest.approx(plain_boost(x.tolist(), y.tolist(), 6, 0.3, 3))
+
+
+def test_booster_bins_at_quantiles():
+    values = np.arange(1.0, 1001.0)
+    code, first, upper = boost.binned(np.zeros(1000, np.int64), values, 2, 10)
+    assert first.tolist() == [0, 10, 10] and upper.tolist() == [100.0 * k for k in range(1, 11)]
+    assert np.bincount(code).tolist() == [100] * 10
+
+
+def test_booster_on_tables(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 3))
+    rows = [(i, int(v[0] * v[1] > 0), Vectors.dense(v.tolist()) if i % 2 else Vectors.sparse(3, [0, 1, 2], v.tolist())) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["email_id", "label", "features"])
+    train, test = df.where("email_id < 300"), df.where("email_id >= 300")
+    scored = boost.Booster(rounds=60).fit_and_score(train, test, ["email_id", "label"]).collect()
+    assert len(scored) == 100 and sum((s["prob"] >= 0.5) == s["label"] for s in scored) > 85
+    few = boost.Booster(rounds=5, sample=50).fit(train)  # a bounded sample of the rows
+    assert few.feature.shape == (5, 127) and (few.feature >= 0).any()
+    one = boost.Booster(rounds=3).fit_and_score(train.where("label = 1"), test, ["email_id"]).collect()
+    assert all(s["prob"] > 0.99 for s in one)  # one class only: no split, no error
+    assert boost.Booster(rounds=2).fit_and_score(train.limit(0), test, ["email_id"]).count() == 100
