@@ -27,8 +27,9 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 from mailsift.llm import common
 
 MARK = "▁"
-#: Parts whose ids a worker remembers; beyond this it starts anew. A million parts of six letters take some 250 MB.
-REMEMBERED = 700_000
+#: Parts whose ids a worker remembers; beyond this it starts anew. Workers go on to other work with it, so it is small: some
+#: 500 bytes for each part.
+REMEMBERED = 250_000
 
 
 def parsed(path: str) -> sentencepiece_model_pb2.ModelProto:
