@@ -40,7 +40,7 @@ PERCENT = 80
 #: Frequent shingles that are ordered by their count; the rest come first, by hash.
 FREQUENT = 1 << 17
 #: Postings that a task gathers before it combines and emits them.
-GATHERED = 1_000_000
+GATHERED = 400_000
 #: Classes that one search takes beside its query.
 MEMBERS = 500
 #: Ids of documents that are sent to all tasks, at most.
