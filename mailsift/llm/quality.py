@@ -19,6 +19,8 @@ from mailsift.llm import common
 
 #: Size of the two multinomials. It bounds what a task emits and what is sent to the tasks that score.
 BUCKETS = 1 << 15
+#: Trusted ids that are sent to all tasks, at most: some 50 bytes for each.
+SENT = 1_000_000
 #: Lowest kept score, in nats per n-gram.
 THRESHOLD = -0.3
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
@@ -41,18 +43,15 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
 
 
 def counted(buckets: int):
-    """For a task: how often each bucket occurs in its trusted documents and in all."""
+    """For a task: how often each bucket occurs in its documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, buckets), np.int64)
+        totals = np.zeros(buckets, np.int64)
         for rows in common.gathered(batches):
             data, offsets = common.text_bytes(rows["text"])
-            bucket, doc = features(data, offsets, buckets)
-            trusted = rows["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-            totals[0] += np.bincount(bucket[trusted[doc]], minlength=buckets)
-            totals[1] += np.bincount(bucket, minlength=buckets)
-        used = np.flatnonzero(totals[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[0][used]), pa.array(totals[1][used])], ["bucket", "target", "raw"])
+            totals += np.bincount(features(data, offsets, buckets)[0], minlength=buckets)
+        used = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["bucket", "n"])
 
     return count
 
@@ -62,16 +61,19 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarr
 
     Each multinomial is mixed half and half with the uniform one, so that an n-gram missing in one corpus has a finite ratio
     and equal frequencies have ratio 0 at any size. With no trusted document at all every ratio is 0. A null doc_id is never
-    trusted; repeated rows count each time.
+    trusted; repeated rows count each time. The raw corpus is counted in a plain scan. Only the trusted documents are joined:
+    their ids go to all tasks up to SENT of them, as counted, and beyond that the texts with an id are shuffled.
     """
-    flags = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(flags.hint("shuffle_hash"), "doc_id", "left")
-    marked = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    parts = marked.mapInArrow(counted(buckets), "bucket long, target long, raw long")
-    totals = parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
-    target, raw = np.zeros(buckets), np.zeros(buckets)
-    target[totals["bucket"]], raw[totals["bucket"]] = totals["target"], totals["raw"]
-    return log_ratios(target, raw)
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids.hint("shuffle_hash")
+    good = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi")
+    columns = "bucket long, n long"
+    parts = docs.select("text").mapInArrow(counted(buckets), columns).withColumn("target", F.lit(0))
+    parts = parts.union(good.select("text").mapInArrow(counted(buckets), columns).withColumn("target", F.lit(1)))
+    totals = parts.groupBy("target", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most two rows a bucket
+    counts = np.zeros((2, buckets))
+    counts[totals["target"], totals["bucket"]] = totals["n"]
+    return log_ratios(counts[1], counts[0])
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
