@@ -2,13 +2,14 @@
 
 Rows are ordered by the hash of their text, then of their id, so that equal texts are neighbours. A sample of rows, drawn
 with probability in proportion to their size, gives quantiles of this order; they cut it into ranges. A text so common that
-it takes several quantiles gets a range of its own. Overfull ranges are subdivided, and from the exact sizes of the ranges
-and of their parts every row knows how many bytes and rows lie before it: that gives its shard and its slot.
+it takes several quantiles, of bytes or (if it is short) of rows, gets a range of its own. Overfull ranges are subdivided,
+and from the exact sizes of the ranges and of their parts every row knows how many bytes and rows lie before it: that gives its shard and its slot.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,19 +37,20 @@ def keyed(docs: DataFrame, *carried: Column) -> DataFrame:
     )
 
 
-def splitters(narrow: DataFrame, total: int, ranges: int = RANGES, sample: int = SAMPLE) -> list[int]:
-    """Quantiles of the order from a size-weighted sample; at most `ranges`, with repeats."""
+def splitters(narrow: DataFrame, total: int, count: int, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[list[int], list[int]]:
+    """Quantiles of the order from a size-weighted sample and from one of rows; at most `ranges` of each, with repeats."""
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id", "key"), F.lit(1 << 31)) / float(1 << 31)
-    chosen = narrow.where(chance < F.col("size") * (ranges * sample / max(total, 1)))
     steps = [k / (ranges + 1) for k in range(1, ranges + 1)]
-    return chosen.agg(F.percentile_approx("key", steps, 100 * ranges)).first()[0] or []
+    drawn = lambda weight, whole: F.when(chance < weight * (ranges * sample / max(whole, 1)), F.col("key"))
+    keys = drawn(F.col("size"), total), drawn(F.lit(1), count)
+    found = narrow.agg(*(F.percentile_approx(key, steps, 100 * ranges) for key in keys)).first()
+    return found[0] or [], found[1] or []
 
 
-def bounds(cuts: list[int]) -> list[int]:
-    """Where ranges begin. A key that is a quantile more than once begins a range, and so does the next key."""
-    out = set(cuts)
-    out |= {k + 1 for k in cuts if cuts.count(k) > 1 and k < LARGEST}
-    return sorted(out)
+def bounds(cuts: list[int], by_rows: list[int] = ()) -> list[int]:
+    """Where ranges begin. A key that is a quantile more than once, of bytes or of rows, begins a range, and so does the next key."""
+    hot = {k for k, n in [*Counter(cuts).items(), *Counter(by_rows).items()] if n > 1}
+    return sorted({*cuts, *hot, *(k + 1 for k in hot if k < LARGEST)})
 
 
 def position(key: Column, begins: list[int]) -> Column:
@@ -66,11 +68,12 @@ def shards(docs: DataFrame, n: int = 16, full: int = FULL, carry: bool = False)
     are as any other. An empty table gives no rows. Equal texts share a shard unless a shard ends among them.
     """
     narrow = write_and_read(keyed(docs), "shard-keys")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    begins = bounds(splitters(narrow, total))
+    total, count = narrow.agg(F.sum("size"), F.count("*")).first()
+    total = total or 0
+    begins = bounds(*splitters(narrow, total, count))
     number = position(F.col("key"), begins).alias("number")
     found = narrow.groupBy(number).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
-    # one entry for each range: at most twice RANGES and one
+    # one entry for each range: at most three times RANGES and one
     rows, sizes = ([0] * (len(begins) + 1) for _ in range(2))
     for r in found:
         rows[r["number"]], sizes[r["number"]] = r["rows"], r["bytes"]
