@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,12 @@ SCHEMAS = {
 }
 
 
+#: Half a surrogate pair is no character, and no table can hold it.
+LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks, characters as they are, and whole numbers without a point."""
+    """JSON with sorted keys, no blanks, characters as they are (U+FFFD for half a surrogate pair), and whole numbers without a point."""
 
     def plain(x):
         if isinstance(x, float):
@@ -45,14 +50,15 @@ def canonical(value) -> str:
             return {str(k): plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return LONE.sub("\ufffd", text)
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What of a JSON schema the value breaks: types, required and further properties, enums, bounds and items."""
     kind, out = schema.get("type"), []
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = number and (kind == "number" or value == int(value)) if kind in ("number", "integer") else value is None if kind == "null" else isinstance(value, KINDS.get(kind, object))
+    fits = number and (kind == "number" or math.isfinite(value) and value == int(value)) if kind in ("number", "integer") else value is None if kind == "null" else isinstance(value, KINDS.get(kind, object))
     if not fits:
         return [f"{at}: not of type {kind}"]
     if "enum" in schema and value not in schema["enum"]:
@@ -100,8 +106,10 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls (conv_id, turn, call_id, name, arguments, after) with their results (conv_id, turn, call_id, content), outer-joined.
 
     Null conversations or identifiers link with nothing. Adds status: linked, no_result or no_call, and early where the
-    result's turn is not after the call's.
+    result's turn is not after the call's. Other columns of both are not read.
     """
+    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "after")
+    results = results.select("conv_id", "turn", "call_id", "content")
     once = lambda df: df.withColumn("use", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn")))
     has_key = "conv_id IS NOT NULL AND call_id IS NOT NULL"
     call = once(calls.where(has_key)).unionByName(calls.where(f"NOT ({has_key})").withColumn("use", F.lit(1)))
