@@ -182,12 +182,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, wide: bool = False) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str, wide: bool | None = None) -> DataFrame:
     """Write `docs` as token files into `folder` and return their manifest (part, file, path, n_docs, n_ids), in order of ids.
 
     A task gives its files names of its own and the manifest names those of the tasks that succeeded, so that a task which
     is run again leaves no wrong file behind, only an unnamed one. Any file system that Arrow knows can hold the folder.
+    Ids have 32 bits if `wide`, which is so by default for a vocabulary with ids beyond 16 bits.
     """
+    if wide is None:
+        wide = max(Tokenizer.from_file(tokenizer).get_vocab().values(), default=0) >= 1 << 16
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
