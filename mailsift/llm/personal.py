@@ -119,7 +119,7 @@ def islands(text: str, taken: list[tuple[int, int, str]]) -> Iterator[list[tuple
         low, high = max(last, ends[k - 1] if k else 0), begins[k] if k < len(begins) else len(text)
         start = m.start()
         words = 0
-        while start > low and start > m.start() - 64 and words < 2 and text[start - 1] != "\n":
+        while start > low and words < 2 and text[start - 1] != "\n":
             start -= 1
             words += text[start] == " " and start + 1 < m.start()
         end, quiet = m.end(), 0
@@ -295,11 +295,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = 40, ridge: float
     The sample only trains the field; every document is decoded. Without any such text all weights are 0 but those that
     keep segments outside.
     """
-    chosen = docs.where(F.col("text").rlike(TRIGGER)).select("text").distinct()
-    found = chosen.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(sample)
+    # hashes first, so that no task sends whole texts; equal texts have equal hashes and count once
+    h = F.xxhash64("text").alias("h")
+    first = [r["h"] for r in docs.where(F.col("text").rlike(TRIGGER)).select(h).distinct().orderBy("h").limit(sample).collect()]
     around = F.regexp_extract_all("text", F.lit(f"(?s).{{0,60}}{TRIGGER}.{{0,60}}"), F.lit(0))
-    trimmed = found.select("h", F.array_join(F.slice(around, 1, ISLANDS), "\n").alias("text"))
-    data = [e for r in trimmed.collect() for e in examples(r["text"]) if e[1]]
+    trimmed = docs.where(F.xxhash64("text").isin(first)).select(h, F.array_join(F.slice(around, 1, ISLANDS), "\n").alias("text"))
+    found = sorted(trimmed.groupBy("h").agg(F.min("text").alias("text")).collect()) if first else []
+    data = [e for r in found for e in examples(r["text"]) if e[1]]
     weights = np.zeros((len(KINDS), len(FEATURES)))
     weights[:, OF["bias"]] = -4.0
     rows = sum(len(c) for _, c, _ in data)
