@@ -25,6 +25,8 @@ SAMPLE = 64
 OVERFULL = 2
 FULL = 100_000
 LARGEST = (1 << 63) - 1
+#: Bits of a key that a splitter lacks. A range of one splitter is that wide, and holds one key but for chance.
+SHORT = 11
 
 
 def keyed(docs: DataFrame, *carried: Column) -> DataFrame:
@@ -38,10 +40,11 @@ def keyed(docs: DataFrame, *carried: Column) -> DataFrame:
 
 
 def splitters(narrow: DataFrame, total: int, count: int, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[list[int], list[int]]:
-    """Quantiles of the order from a size-weighted sample and from one of rows; at most `ranges` of each, with repeats."""
+    """Quantiles of the order from a size-weighted sample and from one of rows; at most `ranges` of each, with repeats. They are
+    of keys without their last SHORT bits, as the sketch of the quantiles holds doubles."""
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id", "key"), F.lit(1 << 31)) / float(1 << 31)
     steps = [k / (ranges + 1) for k in range(1, ranges + 1)]
-    drawn = lambda weight, whole: F.when(chance < weight * (ranges * sample / max(whole, 1)), F.col("key"))
+    drawn = lambda weight, whole: F.when(chance < weight * (ranges * sample / max(whole, 1)), F.shiftright("key", SHORT))
     keys = drawn(F.col("size"), total), drawn(F.lit(1), count)
     found = narrow.agg(*(F.percentile_approx(key, steps, 100 * ranges) for key in keys)).first()
     return found[0] or [], found[1] or []
@@ -70,7 +73,7 @@ def shards(docs: DataFrame, n: int = 16, full: int = FULL, carry: bool = False)
     narrow = write_and_read(keyed(docs), "shard-keys")
     total, count = narrow.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
-    begins = bounds(*splitters(narrow, total, count))
+    begins = [b << SHORT for b in bounds(*splitters(narrow, total, count)) if b << SHORT <= LARGEST]
     number = position(F.col("key"), begins).alias("number")
     found = narrow.groupBy(number).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     # one entry for each range: at most three times RANGES and one
@@ -86,7 +89,7 @@ def shards(docs: DataFrame, n: int = 16, full: int = FULL, carry: bool = False)
     def parted(these: DataFrame) -> DataFrame:
         these = these.withColumn("number", number).withColumn("parts", F.element_at(parts, F.col("number") + 1))
         share = (F.col("key").cast("double") - of([float(x) for x in low])) / of(width)
-        share = F.when(of(width) <= 1, F.col("minor") / float(1 << 31)).otherwise(share)
+        share = F.when(of(width) <= 1 << SHORT, F.col("minor") / float(1 << 31)).otherwise(share)
         part = F.least(F.col("parts") - 1, F.greatest(F.lit(0), F.floor(share * F.col("parts"))))
         return these.withColumn("part", part.cast("int")).drop("parts")
 
