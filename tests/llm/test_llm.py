@@ -641,3 +641,42 @@ def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 90)] + [(200, 200), (300, 299)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
     assert all(found[k] == 100 for k in range(100, 161)) and all(found[k] == 1 for k in range(1, 90)) and found[300] == found[299] == 299
+
+
+def test_common_short_texts_are_spread_over_parts(spark):
+    """A third of all rows is one empty text: it gets a range of its own, and no part of it holds more than the others do."""
+    texts = ["" if k % 3 == 0 else f"text number {k} " * (1 + k % 40) for k in range(9000)]
+    narrow = sharding.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    total, count = narrow.agg(F.sum("size"), F.count("*")).first()
+    key = narrow.where("size = 1").first()["key"] >> sharding.SHORT
+    begins = sharding.bounds(*sharding.splitters(narrow, total, count))
+    assert key in begins and key + 1 in begins
+    per_shard = defaultdict(list)
+    for x in sharding.shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), full=100).collect():
+        per_shard[x["shard"]].append(x)
+    assert all(sorted(x["slot"] for x in v) == list(range(len(v))) for v in per_shard.values())
+    assert all(abs(sum(x["size"] for x in v) - total / 16) <= 2000 for v in per_shard.values())
+
+
+def test_calls_with_infinite_numbers_broken_text_and_further_columns(spark):
+    schemas = {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}}
+    calls = [(1, 0, "a", "f", '{"n": 1e999}', None, "x", 7), (1, 1, "b", "f", '{"s": "\\ud800"}', ["a"], "y", 8)]
+    calls = spark.createDataFrame(calls, "conv_id long, turn int, call_id string, name string, arguments string, after array<string>, content string, place long")
+    results = spark.createDataFrame([(1, 2, "a", "done", 5)], "conv_id long, turn int, call_id string, content string, status int")
+    rows = {x["call_id"]: x.asDict() for x in chat.formatted(calls, results, schemas).collect()}
+    assert len(rows) == 2 and chat.violations(json.loads('{"n": 1e999}'), schemas["f"]) == ["$.n: not of type integer"]
+    assert chat.canonical(json.loads('"\\ud800"')) == '"�"' and chat.canonical(math.inf) == "null"
+
+
+def test_ids_of_large_vocabularies_have_32_bits(spark, tmp_path):
+    vocab = {f"w{k}": k for k in range(70_000)}
+    tokenizer = Tokenizer(models.WordLevel(vocab, unk_token="w1"))
+    tokenizer.save(f"{tmp_path}/words.json")
+    manifest = tokenfiles.write_files(spark.createDataFrame([(1, "w69999")], "doc_id long, text string"), f"{tmp_path}/files", f"{tmp_path}/words.json")
+    with open(manifest.first()["path"], "rb") as f:
+        assert tokenfiles.unpacked(f.read())[2].tolist() == [69_999, 0]
+
+
+def test_islands_begin_at_a_blank():
+    text = "x" * 90 + " (at) example.com"
+    assert next(personal.islands(text, []))[0][0] == 0
