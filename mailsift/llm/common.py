@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,20 @@ def whole(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def tidied(work):
+    """`work` of a task, which gives freed memory back to the system at its end: a worker goes on to other tasks, or waits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+                trim(0)
+
+    return run
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.Table]:
     """Rows in tables of about `size` bytes of `column`; a longer text is a table of its own."""
     held, held_bytes = [], 0

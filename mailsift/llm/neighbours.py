@@ -153,7 +153,7 @@ def posted(percent: int):
         if held:
             yield from combined(shingles, classes)
 
-    return post
+    return common.tidied(post)
 
 
 def possible(docs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +203,7 @@ def classed(docs: DataFrame) -> DataFrame:
             _, starts, ids = shingle_sets(rows["text"])
             yield from pa.table({"doc_id": rows["doc_id"], "n": np.diff(starts), "class": ids}).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(classify, "doc_id long, n long, class long")
+    return docs.select("doc_id", "text").mapInArrow(common.tidied(classify), "doc_id long, n long, class long")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
             yield from pa.table({"class": ids, "n": np.diff(starts), "shingles": lists}).to_batches(max_chunksize=200)
 
-    return docs.select("text").mapInArrow(sets, "class long, n long, shingles array<long>")
+    return docs.select("text").mapInArrow(common.tidied(sets), "class long, n long, shingles array<long>")
 
 
 def frequent(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def frequent(sets: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndar
             often = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(counts[often])], ["shingle", "k"])
 
-    counts = sets.select("shingles").mapInArrow(count, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k"))
+    counts = sets.select("shingles").mapInArrow(common.tidied(count), "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k"))
     top = counts.orderBy(F.desc("k"), "shingle").limit(most).toPandas().sort_values("shingle")
     return top["shingle"].to_numpy(np.int64), top["k"].to_numpy(np.int64)
 
@@ -252,7 +252,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             columns = [pa.array(values[at]), batch.column("class").take(pa.array(doc[at])), pa.array(n[doc[at]]), pa.array(within[kept])]
             yield pa.RecordBatch.from_arrays(columns, ["shingle", "class", "n", "place"])
 
-    return sets.mapInArrow(take, "shingle long, class long, n long, place long")
+    return sets.mapInArrow(common.tidied(take), "shingle long, class long, n long, place long")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
@@ -335,7 +335,7 @@ def tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if key is not None:
             yield finish()
 
-    return rows.mapInArrow(search, "a long, b long")
+    return rows.mapInArrow(common.tidied(search), "a long, b long")
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:

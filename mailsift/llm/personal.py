@@ -368,7 +368,7 @@ def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    return docs.select("doc_id", "text").mapInArrow(common.tidied(find), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def masked(text: str, weights: np.ndarray) -> str:
@@ -395,7 +395,7 @@ def mask(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(texts, hit, changed))
             yield batch
 
-    out = docs.mapInArrow(hide, docs.schema)
+    out = docs.mapInArrow(common.tidied(hide), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

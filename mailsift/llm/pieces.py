@@ -178,7 +178,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield from pa.table({"doc_id": rows["doc_id"], "n_tokens": n, "ids": lists, "ids_crc32": pa.array(crc, pa.int64()), "parity": parity, "restored": restored}).to_batches(max_chunksize=1000)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc32 long, parity boolean, restored boolean")
+    return docs.select("doc_id", "text").mapInArrow(common.tidied(encode), f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc32 long, parity boolean, restored boolean")
 
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def counted(buckets: int):
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["bucket", "n"])
 
-    return count
+    return common.tidied(count)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -154,7 +154,7 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
             yield from pa.table({"doc_id": rows["doc_id"], **found}).to_batches()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, {MEASURES}")
+    return docs.select("doc_id", "text").mapInArrow(common.tidied(score), f"doc_id {kind}, {MEASURES}")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -165,7 +165,7 @@ def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
         for rows in common.gathered(batches):
             yield from rows.filter(pa.array(measured(rows["text"], ratios, threshold)["kept"])).to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.tidied(keep), docs.schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
