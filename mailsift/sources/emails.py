@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import null_to_sentinel
+from .records import read_records
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 # ids of one file lie below this, so that a file's rank and a row's place give an id
@@ -24,12 +25,6 @@ def _all_text_csv(spark: SparkSession, path: str | list[str], header: list[str]
     return reader.csv(path).na.fill("")
 
 
-def _csv_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(path, name that `input_file_name` gives) of the files under `path`, in order of their paths."""
-    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.input_file_name().alias("name"))
-    return sorted((r["path"], r["name"]) for r in listed.collect())
-
-
 def _header(spark: SparkSession, file: str) -> list[str]:
     return spark.read.options(**CSV).option("inferSchema", False).csv(file).columns
 
@@ -37,22 +32,19 @@ def _header(spark: SparkSession, file: str) -> list[str]:
 def read_emails(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """Raw or cleaned emails. `email_id` is added when the input has none: files in order of their names, rows in file order.
 
-    Columns go by header name; files may have them in different orders, and a column that a file lacks is empty. Quoted
-    line breaks keep a CSV file from being split, so one file is one task: give many files, or convert once to Parquet for
-    large inputs. The names of CSV files are listed on the driver.
+    Columns go by header name; files may have them in different orders, and a column that a file lacks is empty. Large CSV
+    files are read by many tasks, quoted line breaks or not, if they are not compressed; see `records.read_records`. Only a
+    file whose lines end with lone CRs is read by one.
     """
     if format == "csv":
-        by_header: dict[tuple[str, ...], list[tuple[int, str, str]]] = {}
-        for rank, (file, name) in enumerate(_csv_files(spark, path)):
-            by_header.setdefault(tuple(_header(spark, file)), []).append((rank, file, name))
-        if not by_header:
+        records, headers, others = read_records(spark, path)
+        parts = [_parsed(records.where(F.col("header_id") == i), header) for i, header in enumerate(headers)]
+        parts += [_one_task(spark, file, rank) for file, rank in others]
+        if not parts:
             return _all_text_csv(spark, path).withColumn("email_id", F.monotonically_increasing_id())
-        df = None
-        for header, files in by_header.items():
-            part = _all_text_csv(spark, [f for _, f, _ in files], list(header))
-            if "email_id" not in header:
-                part = part.withColumn("email_id", _file_order({name: rank for rank, _, name in files}))
-            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+        df = parts[0]
+        for part in parts[1:]:
+            df = df.unionByName(part, allowMissingColumns=True)
         text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
         df = df.na.fill("", subset=text)
     elif format == "parquet":
@@ -66,14 +58,22 @@ def read_emails(spark: SparkSession, path: str, format: str = "csv") -> DataFram
     return df.withColumn("email_id", F.monotonically_increasing_id())
 
 
-def _file_order(ranks: dict[str, int]) -> Column:
-    """An id from the rank of a row's file and its place in the task that reads it.
+def _parsed(records: DataFrame, header: list[str]) -> DataFrame:
+    """Columns of records, all as text, and an id from a record's file and its place there unless there is one."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    parsed = records.withColumn("r", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"'}))
+    columns = [F.coalesce(f"r.c{i}", F.lit("")).alias(name) for i, name in enumerate(header)]
+    if "email_id" not in header:
+        columns.append((F.col("file_rank") * ROWS_PER_FILE + F.col("number")).alias("email_id"))
+    return parsed.select(*columns)
 
-    A task reads whole files one after another, and rows of one file keep their order, so places only need to be ascending
-    within a file: the low bits of the increasing id are.
-    """
-    known = F.create_map(*[F.lit(x) for f, r in ranks.items() for x in (f, r)])
-    return known[F.input_file_name()].cast("bigint") * ROWS_PER_FILE + F.monotonically_increasing_id() % F.lit(1 << 33)
+
+def _one_task(spark: SparkSession, file: str, rank: int) -> DataFrame:
+    """A file whose lines end otherwise, read by one task."""
+    df = _all_text_csv(spark, file, _header(spark, file))
+    if "email_id" in df.columns:
+        return df
+    return df.withColumn("email_id", F.monotonically_increasing_id() % F.lit(1 << 33) + rank * ROWS_PER_FILE)
 
 
 def read_domain_list(spark: SparkSession, path: str, column: str) -> DataFrame:

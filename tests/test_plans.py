@@ -212,3 +212,58 @@ def test_registered_evaluations_have_the_full_settings(monkeypatch, name, plan):
         queries.QUERIES[name](None, "")
     assert seen[0]["feature_sets"] == evaluate.assemble.FEATURE_SETS and seen[0]["max_features"] == 1000
     assert seen[0]["make_classifier"] is evaluate.default_classifier
+
+
+ODD_FIELDS = ["a", "", '"q"', '"x, y"', '"l1\nl2"', '"\n"', '""', '"say ""hi"""', '"""\n"""', 'in "the" middle', 'a"b', '"é€😀\n\né"', " b ", '",\n"",\n"']
+
+
+def _csv_text(seed, rows, end="\n"):
+    rng = random.Random(seed)
+    lines = [",".join([f"k{i}", *rng.choices(ODD_FIELDS, k=3)]) for i in range(rows)]
+    lines[3:3] = ["", ""]
+    return end.join(["id,x,y,z", *lines]).replace("\n", end) + (end if seed % 2 else "")
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seed,end", [(0, "\n"), (1, "\n"), (2, "\r\n"), (3, "\r\n")])
+def test_csv_cut_into_splits(spark, tmp_path, small_splits, seed, end):
+    file = tmp_path / "big.csv"
+    file.write_bytes(_csv_text(seed, 600, end).encode())
+    rows = email_files.read_emails(spark, str(file)).orderBy("email_id").collect()
+    whole = email_files._all_text_csv(spark, str(file), ["id", "x", "y", "z"]).collect()
+    assert [r["email_id"] for r in rows] == list(range(600))
+    assert [tuple(r)[:4] for r in rows] == [tuple(r) for r in whole]
+    blocks = spark.read.text(str(file)).select("_metadata.file_block_start").distinct().count()
+    assert blocks > 10
+
+
+def test_csv_record_over_many_splits(spark, tmp_path, small_splits):
+    body = "line, with comma\n" * 500
+    text = f'sender,body\na,"{body}"\nb,"""{body}"\nc,plain\nd,"never closed\n{body}'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.csv").write_text(text, encoding="utf-8")
+    (tmp_path / "in" / "b.csv").write_text('\ufeffbody,sender\n"x\ny",e\n', encoding="utf-8")
+    (tmp_path / "in" / "c.csv").write_bytes(b"sender,body\rf,mac\r")
+    (tmp_path / "in" / "d.csv").write_text("", encoding="utf-8")
+    (tmp_path / "in" / "e.csv").write_text("\n\n", encoding="utf-8")
+    rows = email_files.read_emails(spark, str(tmp_path / "in")).orderBy("email_id").collect()
+    assert [r["sender"] for r in rows] == ["a", "b", "c", "d", "e", "f"]
+    assert rows[0]["body"] == body and rows[1]["body"] == '"' + body
+    assert rows[3]["body"].startswith("never closed\nline") and rows[4]["body"] == "x\ny" and rows[5]["body"] == "mac"
+
+
+def test_csv_quoted_header_and_empty_folder(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('"a\nb",c,C,\n1,2,3,4\n', encoding="utf-8")
+    df = email_files.read_emails(spark, str(tmp_path / "one.csv"))
+    assert df.columns == ["a\nb", "c1", "C2", "_c3", "email_id"]
+    assert tuple(df.first()) == ("1", "2", "3", "4", 0)
+    (tmp_path / "head.csv").write_text("a,b\n", encoding="utf-8")
+    assert email_files.read_emails(spark, str(tmp_path / "head.csv")).collect() == []
