@@ -344,7 +344,7 @@ ORACLE: dict[str, str] = {
         'NaN' AS urls, CAST(label AS BIGINT) AS label FROM emails""",
     "csv_roundtrip": f"""WITH {CLEAN} SELECT email_id, coalesce(email_text_clean, 'NaN') AS email_text_clean,
         coalesce(sender_tld, 'NaN') AS sender_tld, CAST(label AS BIGINT) AS label,
-        {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in TABULAR)} FROM clean WHERE label IS NOT NULL""",
+        {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in TABULAR)} FROM clean""",
     "domain_list_roundtrip": "SELECT DISTINCT regexp_extract(url, 'https?://([^/]+)', 1) AS domain FROM pages",
     "token_counts": f"""WITH {CLEAN}, {TOKENS} SELECT email_id, CAST(len(words) AS BIGINT) AS n_tokens,
         CAST(len(list_distinct(words)) AS BIGINT) AS n_distinct, md5(coalesce(array_to_string(words, ' '), '')) AS tokens_md5
@@ -365,8 +365,7 @@ ORACLE: dict[str, str] = {
         f"SELECT '{lo}-{lo + 1}' AS ngram_range, count(*) AS n_terms, count(DISTINCT term) AS n_distinct FROM g{lo}"
         for lo in (1, 2, 3, 4)
     ),
-    "standard_scale": f"""WITH {CLEAN}, lab AS (SELECT * FROM clean WHERE label IS NOT NULL),
-        scaled AS (SELECT email_id, {SCALED} FROM lab)
+    "standard_scale": f"""WITH {CLEAN}, scaled AS (SELECT email_id, {SCALED} FROM clean)
         SELECT email_id, {", ".join(f"round({c}, 6) AS {c}" for c in TABULAR)} FROM scaled""",
     "embed_text": f"WITH {CLEAN}, {EMBEDDED} SELECT email_id, dim, round(value, 6) AS value FROM embedded",
     "embedding_roundtrip": """SELECT vec_id, CAST(label >= 5 AS BIGINT) AS label,
@@ -385,8 +384,8 @@ ORACLE: dict[str, str] = {
         SELECT email_id, label, CAST(is_test AS BIGINT) AS is_test FROM split_rows""",
     "stratified_folds": f"""WITH {LABELLED}, {dealt_folds('labelled', 'email_id')}
         SELECT email_id, label, CAST(fold AS BIGINT) AS fold FROM folded""",
-    "plain_folds": f"""WITH {LABELLED} SELECT email_id, label,
-        ntile(5) OVER (ORDER BY md5(email_id || '#42')) - 1 AS fold FROM labelled""",
+    "plain_folds": """SELECT d.doc_id AS email_id, CAST(l.toxic AS BIGINT) AS label,
+        ntile(5) OVER (ORDER BY md5(d.doc_id || '#42')) - 1 AS fold FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "size_summary": f"""WITH {LABELLED} SELECT count(*) AS total_rows,
         count(*) - CAST(ceil(count(*) * 2 / 10) AS BIGINT) AS train_rows, CAST(ceil(count(*) * 2 / 10) AS BIGINT) AS test_rows
         FROM labelled""",

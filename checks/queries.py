@@ -181,13 +181,13 @@ def optional_columns(spark, sf):
 def csv_roundtrip(spark, sf):
     """The cleaned table through CSV and back, as text, then typed again."""
     path = os.path.join(shared_folder(spark), f"clean-csv-{uuid.uuid4().hex}")
-    email_files.write_clean(_clean(spark, sf).where("label IS NOT NULL"), path, "csv")
+    email_files.write_clean(_clean(spark, sf), path, "csv")
     back = email_files.read_emails(spark, path, "csv")
     return back.select(
         "email_id",
         "email_text_clean",
         "sender_tld",
-        missing.strict_label(F.col("label")).alias("label"),
+        missing.strict_label(F.nullif("label", F.lit(""))).alias("label"),
         *[missing.number_or_zero(F.col(c)).alias(c) for c in assemble.TABULAR],
     )
 
@@ -261,7 +261,7 @@ def ngram_ranges(spark, sf):
 
 @query
 def standard_scale(spark, sf):
-    df = _clean(spark, sf).where("label IS NOT NULL").select("email_id", *assemble.TABULAR)
+    df = _clean(spark, sf).select("email_id", *assemble.TABULAR)
     df = write_and_read(df, "numbers")  # read to fit and again to scale
     return scale.fit_scaling(df, assemble.TABULAR).transform(df)
 
@@ -325,7 +325,9 @@ def stratified_folds(spark, sf):
 
 @query
 def plain_folds(spark, sf):
-    return folds.plain_folds(_labelled_ids(spark, sf))
+    d = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("email_id"))
+    lab = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("email_id"), F.col("toxic").alias("label"))
+    return folds.plain_folds(d.join(lab, "email_id", "left"))
 
 
 @query
