@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,12 +113,13 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finish()
 
 
-def _placed(splits: pd.DataFrame) -> pd.DataFrame:
+def _placed(splits: pa.Table) -> pa.Table:
     """The splits of a file with the state each one begins in and the records that begin before it."""
-    splits = splits.sort_values("block")
+    splits = splits.sort_by("block")
     before, _ = open_before(splits["kind"].to_numpy(), False)
-    counts = np.where(before, splits["if_open"], splits["if_closed"])
-    return splits.assign(open=before, first=np.cumsum(counts) - counts)[["key", "block", "open", "first"]]
+    counts = np.where(before, splits["if_open"].to_numpy(), splits["if_closed"].to_numpy())
+    first = np.cumsum(counts) - counts
+    return pa.table({"key": splits["key"], "block": splits["block"], "open": pa.array(before), "first": pa.array(first)})
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +204,10 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, list[list[s
                 headers.append(names)
             files.append((r["key"], rank, headers.index(names), returns))
     known = spark.createDataFrame(files, "key long, file_rank long, header_id int, returns boolean")
-    placed = splits.select("key", "block", "kind", "if_closed", "if_open").groupBy("key").applyInPandas(
+    placed = splits.select("key", "block", "kind", "if_closed", "if_open").groupBy("key").applyInArrow(
         _placed, "key long, block long, open boolean, first long"
     )
-    table = write_and_read(placed.join(F.broadcast(known), "key"), "csv-placed")
+    table = placed.join(F.broadcast(known), "key")
     # lines keep their order, as the join streams them past a table with one row for each split
     joined = lines.drop("file").join(F.broadcast(table), ["key", "block"], "left")
     left_out = {r["key"] for r in found} - {f[0] for f in files}
