@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import folds, models, tfidf
+from ..operators import folds, models, ngram_logistic, tfidf
 from ..session import write_and_read
 
 # The n-gram ranges compared.
@@ -26,13 +27,45 @@ def fold_accuracy(
 ) -> DataFrame:
     """(ngram_range, fold, n, accuracy) with every n-gram kept and the model refitted in every fold.
 
-    The n-grams are counted once per range. A fold's vocabulary is the set of n-grams in its training rows, so
-    weighing all others with zero gives what refitting it would give. All candidates are counted in the same way, exactly
-    unless `hash_bits` asks for hashed indices for all of them.
+    The n-grams of each length are counted once. A fold's vocabulary is the set of n-grams in its training rows, so
+    weighing all others with zero gives what refitting it would give. The models are fitted in numbers by row, not by
+    n-gram, so that no vocabulary has to fit anywhere. With `hash_bits`, all candidates have hashed indices and MLlib fits the
+    models; it also does so for labels beyond 0 and 1, on a whole vocabulary in the driver.
     """
     base = emails.where(F.col("label").isNotNull()).select("email_id", F.col("label").cast("int"), text)
-    base = write_and_read(tfidf.with_tokens(base, text, stop_words).drop(text), "tokens")
+    base = tfidf.with_tokens(base, text, stop_words).drop(text).withColumn("place", F.monotonically_increasing_id())
+    base = write_and_read(base, "tokens")
     folded = folds.plain_folds(base, k, seed=seed)
+    if hash_bits is None and base.where("label NOT IN (0, 1)").isEmpty():
+        found = _by_rows(folded, ranges, k, max_iter)
+    else:
+        found = _by_terms(folded.drop("place"), ranges, k, max_iter, hash_bits)
+    return emails.sparkSession.createDataFrame(found, "ngram_range string, fold int, n bigint, accuracy double")
+
+
+def _by_rows(folded: DataFrame, ranges: Sequence[tuple[int, int]], k: int, max_iter: int) -> list[tuple]:
+    rows = ngram_logistic.numbered(folded)
+    # three numbers of each row come to the driver, in the order of the rows
+    known = rows.select("row", "label", "fold").toArrow().sort_by("row")
+    label, fold = (known[c].to_numpy() for c in ("label", "fold"))
+    in_train = fold[:, None] != np.arange(k)
+    lengths = sorted({n for low, high in ranges for n in range(low, high + 1)})
+    sizes = in_train.sum(axis=0).tolist()
+    parts = {n: ngram_logistic.blocks(rows, "tokens", n, k, sizes) for n in lengths}
+    found = []
+    for low, high in ranges:
+        parts_here = [parts[n] for n in range(low, high + 1)]
+        if all(part.isEmpty() for part in parts_here):
+            raise ValueError("empty vocabulary: no row has a term")
+        odds = ngram_logistic.margins(ngram_logistic.products(parts_here, in_train), label, in_train, max_iter)
+        for f in range(k):
+            tested = ~in_train[:, f]
+            right = (odds[tested, f] >= 0) == label[tested]
+            found.append((f"{low}-{high}", f, int(tested.sum()), float(right.sum()) / int(tested.sum())))
+    return found
+
+
+def _by_terms(folded: DataFrame, ranges: Sequence[tuple[int, int]], k: int, max_iter: int, hash_bits: int | None) -> list[tuple]:
     found = []
     for low, high in ranges:
         counter = tfidf.full_counter(folded, "tokens", (low, high), hash_bits)
@@ -48,7 +81,7 @@ def fold_accuracy(
 
         found += [(f"{low}-{high}", *result) for result in folds.each_fold(counted, k, run)]
         counted.unpersist()
-    return emails.sparkSession.createDataFrame(found, "ngram_range string, fold int, n bigint, accuracy double")
+    return found
 
 
 def search(accuracies: DataFrame) -> DataFrame:

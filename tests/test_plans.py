@@ -3,14 +3,15 @@
 import inspect
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from checks import queries
 from mailsift.functions.missing import strict_label
-from mailsift.operators import clusters, models
+from mailsift.operators import clusters, folds, models, ngram_logistic, tfidf
 from mailsift.plans import clean, cluster_report, evaluate, grid
-from mailsift.session import spread
+from mailsift.session import spread, write_and_read
 from mailsift.sources import embeddings as embedding_files
 from mailsift.sources import emails as email_files
 
@@ -267,3 +268,33 @@ def test_csv_quoted_header_and_empty_folder(spark, tmp_path):
     assert tuple(df.first()) == ("1", "2", "3", "4", 0)
     (tmp_path / "head.csv").write_text("a,b\n", encoding="utf-8")
     assert email_files.read_emails(spark, str(tmp_path / "head.csv")).collect() == []
+
+
+def test_grid_search_by_rows_as_by_terms(spark):
+    """The odds by row numbers are those of MLlib's model on the whole vocabulary, which used to be in the driver."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(40)}{'x' * rng.randrange(3)}" for _ in range(60)]
+    rows = [(i, i % 2, " ".join(rng.choices(words[i % 2 * 15 : 45 + i % 2 * 15], k=rng.randrange(0, 30)))) for i in range(90)]
+    rows += [(90 + i, 1, rows[1][2]) for i in range(4)] + [(95, 0, None), (96, 1, "of the")]
+    df = spark.createDataFrame(rows, "email_id long, label int, body_clean string")
+    tokens = tfidf.with_tokens(df, "body_clean").withColumn("place", F.monotonically_increasing_id())
+    folded = folds.plain_folds(write_and_read(tokens, "t"), 3)
+    numbered = ngram_logistic.numbered(folded)
+    known = numbered.select("row", "email_id", "label", "fold").toArrow().sort_by("row")
+    assert known["row"].to_pylist() == list(range(len(rows)))
+    fold, label = known["fold"].to_numpy(), known["label"].to_numpy()
+    in_train = fold[:, None] != np.arange(3)
+    parts = [ngram_logistic.blocks(numbered, "tokens", n, 3, in_train.sum(axis=0).tolist(), block=50) for n in (1, 2)]
+    odds = ngram_logistic.margins(ngram_logistic.products(parts, in_train), label, in_train)
+    counted = tfidf.full_counter(folded, "tokens", (1, 2)).transform(folded).persist()
+    train, test = counted.where("fold <> 1"), counted.where("fold = 1")
+    weighting = tfidf.fit_weighting(train, drop_unseen=True)
+    fit_on, test = (weighting.transform(x, out="features") for x in (train, test))
+    model = models.logistic(weighting.rows).setTol(1e-12)
+    wanted = {r["email_id"]: r["prob"] for r in models.fit_and_score(model, fit_on, test, ["email_id"]).collect()}
+    ids = known["email_id"].to_numpy()
+    ours = {int(i): 1 / (1 + np.exp(-x)) for i, x in zip(ids[fold == 1], odds[fold == 1, 1])}
+    assert ours.keys() == wanted.keys()
+    assert max(abs(ours[i] - wanted[i]) for i in ours) < 1e-5
+    by_rows = grid._by_rows(folded, [(1, 2), (2, 3)], 3, 100)
+    assert by_rows == grid._by_terms(folded.drop("place"), [(1, 2), (2, 3)], 3, 100, None)
