@@ -247,16 +247,7 @@ def tfidf_holdout_weights(spark, sf):
 @query
 def ngram_ranges(spark, sf):
     """Occurrences and distinct n-grams for each range of the search."""
-    df = _stored_tokens(spark, sf)
-    parts = [
-        tfidf.term_counts(df, "tokens", r).agg(
-            F.lit(f"{r[0]}-{r[1]}").alias("ngram_range"),
-            F.sum("term_count").alias("n_terms"),
-            F.count(F.lit(1)).alias("n_distinct"),
-        )
-        for r in grid.RANGES
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return tfidf.range_totals(_stored_tokens(spark, sf), "tokens", grid.RANGES)
 
 
 @query

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.base import Transformer
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ngrams import ngrams, tokens
 from ..functions.stopwords import ENGLISH
+from . import grams
 
 
 def with_tokens(df: DataFrame, text: str, stop_words: Sequence[str] | None = ENGLISH, out: str = "tokens") -> DataFrame:
@@ -30,6 +32,21 @@ def term_counts(df: DataFrame, words: str, ngram_range: tuple[int, int]) -> Data
     return terms.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("term_count"))
 
 
+def range_totals(df: DataFrame, words: str, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """(ngram_range, n_terms, n_distinct): occurrences and distinct n-grams of each range.
+
+    Words hold no blanks, so n-grams of different lengths differ. Each length is counted once for all ranges, by 128-bit hashes, of which
+    a task sends each that it meets once for some rows.
+    """
+    parts = []
+    for n in sorted({n for low, high in ranges for n in range(low, high + 1)}):
+        names = F.array(*[F.lit(f"{low}-{high}") for low, high in ranges if low <= n <= high])
+        terms = grams.counted(df, words, (n, n)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        parts.append(terms.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).select("t", "d", F.explode(names).alias("ngram_range")))
+    totals = reduce(DataFrame.unionByName, parts).groupBy("ngram_range")
+    return totals.agg(F.sum("t").alias("n_terms"), F.sum("d").alias("n_distinct"))
+
+
 def top_terms(df: DataFrame, words: str, ngram_range: tuple[int, int], max_features: int) -> DataFrame:
     """The `max_features` most frequent n-grams; equal counts go by term.
 

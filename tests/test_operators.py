@@ -449,3 +449,16 @@ def test_booster_on_tables(spark):
     one = boost.Booster(rounds=3).fit_and_score(train.where("label = 1"), test, ["email_id"]).collect()
     assert all(s["prob"] > 0.99 for s in one)  # one class only: no split, no error
     assert boost.Booster(rounds=2).fit_and_score(train.limit(0), test, ["email_id"]).count() == 100
+
+
+def test_range_totals_are_those_of_term_counts(spark):
+    """Every length used to be counted, as texts, once for each range that holds it."""
+    rows = [(1, ["a", "b", "a", "b", "a"]), (2, ["b", "a"]), (3, []), (4, None), (5, ["c", "a", "b", "a", "b", "é"])]
+    df = spark.createDataFrame(rows, "email_id long, tokens array<string>")
+    ranges = [(1, 2), (2, 3), (3, 4), (6, 7)]
+    found = {r[0]: (r[1], r[2]) for r in tfidf.range_totals(df, "tokens", ranges).collect()}
+    for low, high in ranges:
+        counts = [r["term_count"] for r in tfidf.term_counts(df, "tokens", (low, high)).collect()]
+        assert found[f"{low}-{high}"] == (sum(counts), len(counts))
+    empty = tfidf.range_totals(df.where("email_id = 3"), "tokens", [(1, 2)]).collect()
+    assert [(r["n_terms"], r["n_distinct"]) for r in empty] == [(None, 0)]
