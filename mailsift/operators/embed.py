@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Encode = Callable[[list[str]], np.ndarray]
 
@@ -63,19 +64,19 @@ def embed_text(
     matrix with one row per text. It gets at most `batch_size` texts at a time.
     """
     load = load_encoder or hashed_projection()
-    kept = [c for c in df.columns if c not in (text, out)]
-    source = df.select(*kept, text)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<float>")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
+        import pandas as pd
 
         encode = load()
-        for frame in frames:
-            texts = frame[text].fillna("").tolist()
+        for column in columns:
             vectors: list = []
-            for start in range(0, len(texts), batch_size):
-                vectors.extend(np.asarray(encode(texts[start : start + batch_size]), dtype="float32"))
-            yield frame[kept].assign(**{out: vectors})
+            for start in range(0, len(column), batch_size):
+                texts = column.iloc[start : start + batch_size].tolist()
+                vectors.extend(np.asarray(encode(texts), dtype="float32"))
+            yield pd.Series(vectors, dtype=object)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in kept)
-    return source.mapInPandas(run, f"{fields}, `{out}` array<float>")
+    # only the text leaves the JVM, other columns stay there
+    return df.select(*[c for c in df.columns if c not in (text, out)], run(F.coalesce(F.col(text), F.lit(""))).alias(out))

@@ -462,3 +462,12 @@ def test_range_totals_are_those_of_term_counts(spark):
         assert found[f"{low}-{high}"] == (sum(counts), len(counts))
     empty = tfidf.range_totals(df.where("email_id = 3"), "tokens", [(1, 2)]).collect()
     assert [(r["n_terms"], r["n_distinct"]) for r in empty] == [(None, 0)]
+
+
+def test_embed_text_sends_only_the_text(spark):
+    df = spark.createDataFrame([(1, ["x"], "a text"), (2, None, None)], "email_id long, tokens array<string>, t string")
+    out = embed.embed_text(df, "t")
+    assert out.columns == ["email_id", "tokens", "embedding"] and dict(out.dtypes)["embedding"] == "array<float>"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" in plan
+    assert {r["email_id"]: r["tokens"] for r in out.collect()} == {1: ["x"], 2: None}
