@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,6 +88,20 @@ def sums(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def often(met: np.ndarray, most: int) -> np.ndarray:
+    """Marks the entries met more than once, the `most` that were met most often at most."""
+    kept = met > 1
+    if kept.sum() > most:
+        kept = np.zeros(len(met), bool)
+        kept[np.argpartition(met, len(met) - most)[len(met) - most :]] = True
+    return kept
+
+
+def renumbered(known: dict[str, int], kept: np.ndarray) -> dict[str, int]:
+    """The kept entries of a table numbered in order, numbered anew."""
+    return {x: i for i, x in enumerate(itertools.compress(known, kept.tolist()))}
+
+
 #: Base of the polynomial hash of bytes, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -27,8 +27,8 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 from mailsift.llm import common
 
 MARK = "▁"
-#: Parts whose ids a worker remembers; beyond this it starts anew. Workers go on to other work with it, so it is small: some
-#: 500 bytes for each part.
+#: Parts whose ids a worker remembers; beyond this it forgets those met once or seldom. Workers go on to other work with it, so
+#: it is small: some 500 bytes for each part.
 REMEMBERED = 150_000
 
 
@@ -94,6 +94,15 @@ class Codec:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends, self.same, self.back = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+        self.met = np.zeros(0, np.int32)
+
+    def forget_rare(self) -> None:
+        """Keep the parts met most often, half as many as may be remembered at most."""
+        kept = common.often(self.met, REMEMBERED // 2)
+        self.known = common.renumbered(self.known, kept)
+        n = np.diff(self.ends)
+        self.ids, self.ends = self.ids[np.repeat(kept, n)], np.append(0, np.cumsum(n[kept]))
+        self.same, self.back, self.met = self.same[kept], self.back[kept], self.met[kept] // 2
 
     def learn(self, parts: list[str]) -> None:
         """Encode, compare and decode parts that are not known yet. A marker in a text is an ordinary character, but cannot be told from a
@@ -110,10 +119,11 @@ class Codec:
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ours), np.int32, int(lengths.sum()))])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         self.same, self.back = np.append(self.same, np.array(same, bool)), np.append(self.back, np.array(back, bool))
+        self.met = np.append(self.met, np.zeros(len(parts), np.int32))
 
     def places(self, distinct: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.forget_rare()
         found = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(found < 0)
         if len(missing):
@@ -121,6 +131,7 @@ class Codec:
             new = [distinct[k] for k in missing.tolist()]
             for a in range(0, len(new), 20_000):
                 self.learn(new[a : a + 20_000])
+        self.met[found] += 1
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ before it, so that a document is read without a table of offsets.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import uuid
 import zlib
@@ -36,7 +37,7 @@ MAGIC, HEAD = b"EFT1", struct.Struct("<4s5Q")
 STEP = 64
 #: Ids of a file, beyond which the next file of the task begins.
 FILE_IDS = 8 << 20
-#: Pieces whose ids a worker remembers; beyond this it starts anew.
+#: Pieces whose ids a worker remembers; beyond this it forgets those met once or seldom.
 REMEMBERED = 600_000
 END = 0
 LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
@@ -142,22 +143,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = [0]
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int32)
+
+    def forget_rare(self) -> None:
+        """Keep the pieces met most often, half as many as may be remembered at most."""
+        kept = common.often(self.met, REMEMBERED // 2)
+        self.known = common.renumbered(self.known, kept)
+        n = np.diff(self.starts)
+        self.ids, self.starts = self.ids[np.repeat(kept, n)], np.append(0, np.cumsum(n[kept]))
+        self.met = self.met[kept] // 2
 
     def places(self, distinct: list[str]) -> np.ndarray:
         """Where the ids of each piece are; new ones are encoded."""
         if len(self.known) > REMEMBERED:
-            self.known, self.ids, self.starts = {}, np.zeros(0, np.uint32), [0]
-        new = [x for x in distinct if x not in self.known]
-        parts = [self.ids]
-        for a in range(0, len(new), 50_000):
-            for piece, found in zip(new[a : a + 50_000], self.tokenizer.encode_batch_fast(new[a : a + 50_000], add_special_tokens=False), strict=True):
-                self.known[piece] = len(self.starts) - 1
-                parts.append(np.array(found.ids, np.uint32))
-                self.starts.append(self.starts[-1] + len(parts[-1]))
-        self.ids = np.concatenate(parts)
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+            self.forget_rare()
+        place = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            place[missing] = np.arange(len(self.known), len(self.known) + len(missing))
+            new = [distinct[k] for k in missing.tolist()]
+            self.known.update(zip(new, place[missing].tolist(), strict=True))
+            parts, sizes = [self.ids], []
+            for a in range(0, len(new), 50_000):
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(new[a : a + 50_000], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                parts.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+            self.ids = np.concatenate(parts)
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes)))
+            self.met = np.append(self.met, np.zeros(len(new), np.int32))
+        self.met[place] += 1
+        return place
 
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
@@ -170,8 +186,7 @@ class Encoder:
         # strings over the same bytes, without a copy
         pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         place = self.places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
-        starts = np.array(self.starts)
-        first, n = starts[place], starts[place + 1] - starts[place]
+        first, n = self.starts[place], self.starts[place + 1] - self.starts[place]
         ids = self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return ids, common.sums(n, np.searchsorted(at[:-1], offsets))
 

@@ -680,3 +680,23 @@ def test_ids_of_large_vocabularies_have_32_bits(spark, tmp_path):
 def test_islands_begin_at_a_blank():
     text = "x" * 90 + " (at) example.com"
     assert next(personal.islands(text, []))[0][0] == 0
+
+
+def test_caches_keep_what_is_met_often(monkeypatch):
+    """They used to start anew, so that common pieces were encoded again and again."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 6)
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 6)
+    codec = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = tokenfiles.Encoder(path), Tokenizer.from_file(path)
+    for i in range(20):
+        text = f"common word x{i} y{i}"
+        ids, n, parity, restored = codec.encode([text])
+        assert codec.decode(ids.tolist()) == text and parity.all() and restored.all()
+        ids, n = encoder.encode(pa.chunked_array([[text, ""]]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids), 0]
+        if i % 3 == 2:  # else nothing has been met twice
+            codec.forget_rare()
+            encoder.forget_rare()
+            assert len(codec.known) <= 3 and sum("word" in x or "common" in x for x in codec.known) == 2
+            assert len(encoder.known) <= 3 and sum("word" in x or "common" in x for x in encoder.known) == 2
