@@ -168,7 +168,8 @@ def grown(starts: np.ndarray, at: np.ndarray, value: np.ndarray, width: int, lab
 
 def grow_tree(trees: Trees, t: int, g: np.ndarray, h: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, code: np.ndarray, first: np.ndarray, upper: np.ndarray, of_bin: np.ndarray, s: Booster) -> np.ndarray:
     """Fill in tree t from gradients and curvatures, level by level; the leaf of each row."""
-    node, total, width = np.zeros(len(g), np.int64), len(of_bin), len(first) - 1
+    node, total = np.zeros(len(g), np.int64), len(of_bin)
+    starting = first[:-1][np.diff(first) > 0]
     for level in range(s.depth + 1):
         low = (1 << level) - 1
         here = node >= low  # rows whose node is on this level; others have come to a leaf
@@ -184,14 +185,25 @@ def grow_tree(trees: Trees, t: int, g: np.ndarray, h: np.ndarray, row: np.ndarra
             break
         entry = np.flatnonzero(of_row[row] >= 0)
         key = of_row[row[entry]] * total + code[entry]
+        # only bins with entries are looked at, and the first of each feature: a split at another one is that of the bin before it
+        marked = np.zeros(n * total, bool)
+        marked[key] = True
+        marked.reshape(n, total)[:, starting] = True
+        at_cell = np.flatnonzero(marked)
+        of_node, of_feature = at_cell // total, of_bin[at_cell % total]
+        group = np.append(True, (of_node[1:] != of_node[:-1]) | (of_feature[1:] != of_feature[:-1]))
+        begin = np.flatnonzero(group)
+        group = np.cumsum(group) - 1
+        rows_of = np.searchsorted(of_node, np.arange(n + 1))
         sides = []
         for x, whole in zip((g, h), sums, strict=True):
-            cells = np.bincount(key, x[row[entry]], minlength=n * total).reshape(n, total)
-            running = np.concatenate([np.zeros((n, 1)), np.cumsum(cells, axis=1)], axis=1)
-            before = running[:, first[:-1]]
-            present = running[:, first[1:]] - before
-            up_to = running[:, 1:] - before[:, of_bin]  # entries of the feature up to each bin
-            sides.append((up_to, whole[:, None], (whole[:, None] - present)[:, of_bin]))
+            cells = np.bincount(key, x[row[entry]], minlength=n * total)[at_cell]
+            running = np.concatenate([np.cumsum(cells[c:d]) for c, d in zip(rows_of[:-1], rows_of[1:], strict=True)])
+            before = np.append(0.0, running[:-1])[begin]
+            before[of_node[begin] != np.append(-1, of_node[:-1])[begin]] = 0.0  # the node's first feature
+            present = running[np.append(begin[1:], len(running)) - 1] - before
+            up_to = running - before[group]  # entries of the feature up to each bin
+            sides.append((up_to, whole[of_node], (whole[of_node[begin]] - present)[group]))
         (gl, gw, ga), (hl, hw, ha) = sides
         best = np.full(n, 1e-10)
         choice, left_too = np.zeros(n, np.int64), np.zeros(n, bool)
@@ -199,11 +211,11 @@ def grow_tree(trees: Trees, t: int, g: np.ndarray, h: np.ndarray, row: np.ndarra
             a, b = (gl + ga, hl + ha) if absent_left else (gl, hl)
             gain = a * a / (b + s.penalty) + (gw - a) ** 2 / (hw - b + s.penalty) - gw * gw / (hw + s.penalty)
             gain[(b < s.least) | (hw - b < s.least)] = -1
-            at_best = gain.argmax(axis=1)
-            value_best = gain[np.arange(n), at_best]
+            at_best = np.array([c + gain[c:d].argmax() for c, d in zip(rows_of[:-1], rows_of[1:], strict=True)])
+            value_best = gain[at_best]
             better = value_best > best * (1 + 1e-9)
             best = np.where(better, value_best, best)
-            choice, left_too = np.where(better, at_best, choice), np.where(better, absent_left, left_too)
+            choice, left_too = np.where(better, at_cell[at_best] % total, choice), np.where(better, absent_left, left_too)
         split = best > 1e-10
         if not split.any():
             break

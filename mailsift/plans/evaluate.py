@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
 from itertools import chain
 
 from pyspark.ml.base import Estimator
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import blank_sentinel, number_or_zero, strict_label
 from ..operators import assemble, embed, folds, metrics, models, scale, tfidf
 from ..operators.boost import Booster
-from ..session import write_and_read
+from ..session import side_by_side, write_and_read
 
 MakeClassifier = Callable[[int], Estimator | Booster]
 
@@ -60,14 +60,16 @@ def prepared(train: DataFrame, held_out: DataFrame, feature_sets: Sequence[str],
 def _scores(train, held_out, feature_sets, max_features, make, marks: dict) -> list[DataFrame]:
     train, held_out = prepared(train, held_out, feature_sets, max_features)
     rows = train.count()
-    scored = []
-    for feature_set in feature_sets:
+
+    def scored(feature_set: str) -> DataFrame:
         fit_on = assemble.fuse(train, feature_set).select("label", "features").persist()
         test = assemble.fuse(held_out, feature_set)
         part = models.fit_and_score(make(rows), fit_on, test, ["email_id", "label"])
         fit_on.unpersist()
-        scored.append(part.withColumns({"feature_set": F.lit(feature_set), **{k: F.lit(v) for k, v in marks.items()}}))
-    return scored
+        return part.withColumns({"feature_set": F.lit(feature_set), **{k: F.lit(v) for k, v in marks.items()}})
+
+    # a model is fitted in one task, so those of all feature sets share the cluster
+    return side_by_side(train.sparkSession, [partial(scored, feature_set) for feature_set in feature_sets])
 
 
 def out_of_fold(

@@ -2,6 +2,7 @@
 
 import inspect
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from checks import queries
 from mailsift.functions.missing import strict_label
 from mailsift.operators import clusters, folds, models, ngram_logistic, tfidf
+from mailsift.operators.boost import Booster
 from mailsift.plans import clean, cluster_report, evaluate, grid
 from mailsift.session import spread, write_and_read
 from mailsift.sources import embeddings as embedding_files
@@ -298,3 +300,15 @@ def test_grid_search_by_rows_as_by_terms(spark):
     assert max(abs(ours[i] - wanted[i]) for i in ours) < 1e-5
     by_rows = grid._by_rows(folded, [(1, 2), (2, 3)], 3, 100)
     assert by_rows == grid._by_terms(folded.drop("place"), [(1, 2), (2, 3)], 3, 100, None)
+
+
+def test_models_of_all_feature_sets_are_fitted_side_by_side(base):
+    """They used to be fitted one after another, each in its one task."""
+    barrier = threading.Barrier(3, timeout=60)
+
+    def make(rows):
+        barrier.wait()
+        return Booster(rounds=2, depth=2)
+
+    scores = evaluate.held_out(evaluate.base_features(base), make_classifier=make)
+    assert scores.count() == 36
