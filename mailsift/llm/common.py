@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import itertools
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,12 @@ def tidied(work):
     return run
 
 
+def one_thread() -> None:
+    """Batches of the tokenizers library run on the task's own thread in this process, unless its variable says otherwise: each core
+    has a task of its own, and threads that wait for each other's work take CPU time from them."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.Table]:
     """Rows in tables of about `size` bytes of `column`; a longer text is a table of its own."""
     held, held_bytes = [], 0

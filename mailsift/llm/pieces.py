@@ -4,7 +4,7 @@ The model protobuf is parsed and rebuilt: its normaliser, the marker for blanks,
 fallback. A unigram model becomes a unigram model with these scores. In a BPE model a score is the rank at which a piece was
 merged, so it becomes a BPE model whose merges are the pairs of pieces that join to a piece, in order of rank.
 
-Texts are encoded in whole batches of their distinct parts on several threads. Parts are cut before a blank that follows
+Texts are encoded in whole batches of their distinct parts, on one thread, as each core has a task of its own. Parts are cut before a blank that follows
 another character, and only if no piece of the model has a blank after another character, so that no piece can cross a cut.
 Each distinct part's ids are compared with those of the sentencepiece library and decoded again, which holds for whole texts then.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from mailsift.llm import common
 
 MARK = "▁"
 #: Parts whose ids a worker remembers; beyond this it forgets those met once or seldom. Workers go on to other work with it, so
-#: it is small: some 500 bytes for each part.
-REMEMBERED = 150_000
+#: it is small: some 300 bytes for each part.
+REMEMBERED = 300_000
 
 
 def parsed(path: str) -> sentencepiece_model_pb2.ModelProto:
@@ -109,11 +110,12 @@ class Codec:
         blank by either library."""
         ours = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         # the reference puts a marker in front of what it encodes, so it gets parts without theirs
-        plain = [not self.prefix or p[:1] in (" ", MARK) for p in parts]
-        theirs = self.reference.encode([p[1:] if self.prefix and ok else p for p, ok in zip(parts, plain, strict=True)], num_threads=1)
-        same = [not (ok and self.prefix and not p[1:]) and own == other or ok and self.prefix and not p[1:] for p, ok, own, other in zip(parts, plain, ours, theirs, strict=True)]
+        theirs = self.reference.encode([p[1:] if p[:1] in (" ", MARK) else p for p in parts] if self.prefix else parts, num_threads=1)
+        same = list(map(operator.eq, ours, theirs))
+        if self.prefix and not all(same):
+            same = [ok or p in (" ", MARK) for ok, p in zip(same, parts, strict=True)]  # nothing is left of these to compare
         decoded = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
-        back = [d == p.replace(MARK, " ") if MARK in p else d == p for d, p in zip(decoded, parts, strict=True)]
+        back = list(map(operator.eq, decoded, [p.replace(MARK, " ") for p in parts]))
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         lengths = np.fromiter(map(len, ours), np.int64, len(ours))
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ours), np.int32, int(lengths.sum()))])
@@ -168,6 +170,7 @@ def after_mark(data: np.ndarray) -> np.ndarray:
 @functools.cache
 def codec(path: str) -> Codec:
     """One for each worker process."""
+    common.one_thread()
     return Codec(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -700,3 +701,22 @@ def test_caches_keep_what_is_met_often(monkeypatch):
             encoder.forget_rare()
             assert len(codec.known) <= 3 and sum("word" in x or "common" in x for x in codec.known) == 2
             assert len(encoder.known) <= 3 and sum("word" in x or "common" in x for x in encoder.known) == 2
+
+
+@pytest.mark.parametrize("cached, model", [(pieces.codec, "piece_bpe_32k.model")])
+def test_workers_encode_on_one_thread(monkeypatch, cached, model):
+    """They used to start a thread for each core in each worker, all waiting for little work."""
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    cached.__wrapped__(public_tokenizers.path(model))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "true"  # the caller's choice holds
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM")
+    cached.__wrapped__(public_tokenizers.path(model))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_parts_without_parity_are_told():
+    codec = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    codec.tokenizer = Tokenizer(models.WordLevel({"<unk>": 0, " known": 1, "▁": 2}, unk_token="<unk>"))
+    texts = ["known", "other", "▁", "known other", ""]
+    *_, parity, restored = codec.encode(texts)
+    assert parity.tolist() == [False, False, False, False, True] and not restored[1] and not restored[3] and restored[4]
