@@ -194,6 +194,7 @@ class Encoder:
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
+    common.one_thread()
     return Encoder(path)
 
 

@@ -703,7 +703,7 @@ def test_caches_keep_what_is_met_often(monkeypatch):
             assert len(encoder.known) <= 3 and sum("word" in x or "common" in x for x in encoder.known) == 2
 
 
-@pytest.mark.parametrize("cached, model", [(pieces.codec, "piece_bpe_32k.model")])
+@pytest.mark.parametrize("cached, model", [(pieces.codec, "piece_bpe_32k.model"), (tokenfiles.encoder, "byte_bpe_50k.json")])
 def test_workers_encode_on_one_thread(monkeypatch, cached, model):
     """They used to start a thread for each core in each worker, all waiting for little work."""
     monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
