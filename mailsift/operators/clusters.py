@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -16,27 +17,169 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import side_by_side
+from ..session import spread
 from .folds import class_counts
 
 BLOCK_ROWS = 8192
+#: k-means ends when no centre moves farther.
+TOLERANCE = 1e-4
+SCHEMA_DRAWN = pa.schema([("start", pa.int32()), ("wait", pa.float64()), ("row", pa.list_(pa.float64()))])
+SCHEMA_MOVED = pa.schema([("totals", pa.list_(pa.float64()))])
 
 
 def with_vector(df: DataFrame, embedding: str = "embedding", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(embedding).cast("array<double>")))
 
 
+@dataclass(frozen=True)
+class Centres:
+    """Centres of clusters and the sum of the rows' squared distances to the nearest."""
+
+    centres: tuple[tuple[float, ...], ...]
+    cost: float
+    features: str = "features"
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802 - as in MLlib
+        return [np.array(c) for c in self.centres]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add `prediction`, the row's nearest centre; of equally near ones the first."""
+        centres = np.array(self.centres)
+
+        @F.arrow_udf("int")
+        def nearest(vectors: pa.Array) -> pa.Array:
+            return pa.array(nearest_centre(squared_distances(matrix(vectors, centres.shape[1]), centres))[0])
+
+        return df.withColumn("prediction", nearest(vector_to_array(F.col(self.features))))
+
+
+def matrix(vectors: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of numbers, all of one width; raises for a row that is null or has a component that is no finite number."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    widths = np.unique(vectors.value_lengths().drop_null().to_numpy(zero_copy_only=False))
+    if vectors.null_count or not np.isfinite(flat).all():
+        raise ValueError("vectors must not be null, nor hold components that are no finite numbers")
+    if len(widths) > 1 or width is not None and len(widths) and widths[0] != width:
+        raise ValueError("vectors must have the same width")
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, width or 0))
+
+
+def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of each centre to each row, (centres, rows); those that rounding may have spoilt are taken from the differences."""
+    size = np.add.outer(np.einsum("ij,ij->i", centres, centres), np.einsum("ij,ij->i", x, x))
+    out = centres @ x.T
+    out *= -2.0
+    out += size
+    size *= 1e-6
+    centre, row = np.nonzero(out < size)
+    for a in range(0, len(row), 10_000):
+        i, j = row[a : a + 10_000], centre[a : a + 10_000]
+        out[j, i] = ((x[i] - centres[j]) ** 2).sum(axis=1)
+    return np.maximum(out, 0.0, out=out)
+
+
+def nearest_centre(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first nearest centre, its distance) of each row. A loop over few centres is faster than argmin along them."""
+    least, at = distances[0], np.zeros(distances.shape[1], np.int32)
+    for j in range(1, len(distances)):
+        at[distances[j] < least] = j
+        least = np.minimum(least, distances[j])
+    return at, least
+
+
+def _drawn(points: DataFrame, starts: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """A row for each start, drawn in proportion to the squared distance to its nearest centre so far, or evenly if it has none; no row
+    (an empty matrix) if all are at a centre. Each task keeps the row that comes first in a race of exponential clocks of these rates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        clocks = np.random.default_rng([seed, max(map(len, starts)), TaskContext.get().partitionId()])
+        best, rows = np.full(len(starts), np.inf), [None] * len(starts)
+        for batch in batches:
+            x = matrix(batch.column(0))
+            if not len(x):
+                continue
+            waits = clocks.exponential(size=(len(x), len(starts)))
+            for i, centres in enumerate(starts):
+                if len(centres):
+                    with np.errstate(divide="ignore"):
+                        waits[:, i] /= squared_distances(x, centres).min(axis=0)
+            first = waits.argmin(axis=0)
+            for i in np.flatnonzero(waits[first, np.arange(len(starts))] < best).tolist():
+                best[i], rows[i] = waits[first[i], i], x[first[i]].tolist()
+        found = [i for i, row in enumerate(rows) if row is not None]
+        yield pa.RecordBatch.from_pydict({"start": found, "wait": best[found], "row": [rows[i] for i in found]}, SCHEMA_DRAWN)
+
+    raced = points.mapInArrow(run, "start int, wait double, row array<double>")
+    won = {r["start"]: r["row"] for r in raced.groupBy("start").agg(F.min_by("row", F.struct("wait", "row")).alias("row")).collect()}
+    return [np.array([won[i]]) if i in won else np.zeros((0, 0)) for i in range(len(starts))]
+
+
+def _moved(points: DataFrame, starts: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """For each start its centres, each moved to the mean of the rows nearest to it, and the cost before; a centre without rows stays."""
+    bounds = np.append(0, np.cumsum([len(c) for c in starts]))
+    stacked = np.concatenate(starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, costs = np.zeros(stacked.shape), np.zeros(len(stacked)), np.zeros(len(stacked))
+        for batch in batches:
+            x = matrix(batch.column(0), stacked.shape[1])
+            if not len(x):
+                continue
+            distances, own = squared_distances(x, stacked), np.zeros((len(stacked), len(x)))
+            for low, high in itertools.pairwise(bounds):
+                at, least = nearest_centre(distances[low:high])
+                for j in range(low, high):
+                    own[j] = at == j - low
+                costs[low] += least.sum()
+            sums += own @ x
+            counts += own.sum(axis=1)
+        yield pa.RecordBatch.from_pydict({"totals": [np.column_stack([costs, counts, sums]).ravel().tolist()]}, SCHEMA_MOVED)
+
+    # a row of some hundred numbers for each start from each task
+    parts = [r["totals"] for r in points.mapInArrow(run, "totals array<double>").collect()]
+    totals = np.sum(np.array(parts), axis=0).reshape(len(stacked), -1)
+    costs, counts, sums = totals[:, 0], totals[:, 1:2], totals[:, 2:]
+    means = np.where(counts > 0, sums / np.maximum(counts, 1.0), stacked)
+    pairs = list(itertools.pairwise(bounds))
+    return [means[a:b] for a, b in pairs], [float(costs[a:b].sum()) for a, b in pairs]
+
+
 def kmeans_best(
     df: DataFrame, k: int = 2, restarts: int = 10, seed: int = 42, max_iter: int = 300, features: str = "features"
-) -> KMeansModel:
-    """The k-means model with the lowest cost among `restarts` seeds."""
-    points = df.select(features).persist()
+) -> Centres:
+    """The centres with the lowest cost among `restarts` starts of k-means, each begun by k-means++.
+
+    All starts share each pass over the rows, so the number of passes is that of the slowest one, and the rows are held
+    once. A start has fewer than k centres if there are fewer distinct rows.
+    """
+    points = df.select(vector_to_array(F.col(features)).alias("x")).persist()
+    held = [points]
     try:
-        learners = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=features) for i in range(restarts)]
-        runs = side_by_side(df.sparkSession, [partial(learner.fit, points) for learner in learners])
-        return min(runs, key=lambda m: m.summary.trainingCost)
+        if points.count() == 0:
+            raise ValueError("k-means needs a row")
+        dealt = spread(points)
+        if dealt is not points:
+            held.append(dealt.persist())
+        starts = [np.zeros((0, 0))] * restarts
+        for _ in range(k):
+            starts = [np.concatenate([c, new]) if len(c) and len(new) else c if len(c) else new for c, new in zip(starts, _drawn(dealt, starts, seed))]
+        moving = list(range(restarts))
+        for _ in range(max_iter):
+            moved, _ = _moved(dealt, [starts[i] for i in moving])
+            far = [((new - starts[i]) ** 2).sum(axis=1).max() > TOLERANCE**2 for i, new in zip(moving, moved)]
+            for i, new in zip(moving, moved):
+                starts[i] = new
+            moving = [i for i, x in zip(moving, far) if x]
+            if not moving:
+                break
+        costs = _moved(dealt, starts)[1]
+        best = min(range(restarts), key=costs.__getitem__)
+        return Centres(tuple(tuple(map(float, c)) for c in starts[best]), costs[best], features)
     finally:
-        points.unpersist()
+        for x in held:
+            x.unpersist()
 
 
 @dataclass(frozen=True)
@@ -75,7 +218,7 @@ def fit_pca(df: DataFrame, components: int = 2, features: str = "features") -> P
     )
 
 
-def centroids(model: KMeansModel, spark) -> DataFrame:
+def centroids(model: Centres, spark) -> DataFrame:
     """(cluster, features), one row per cluster."""
     rows = [(i, Vectors.dense(c)) for i, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(rows, ["cluster", "features"]).withColumn("cluster", F.col("cluster").cast("int"))

@@ -471,3 +471,39 @@ def test_embed_text_sends_only_the_text(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "ArrowEvalPython" in plan
     assert {r["email_id"]: r["tokens"] for r in out.collect()} == {1: ["x"], 2: None}
+
+
+def test_kmeans_starts_share_their_passes(spark):
+    """Each start used to make passes of its own, several jobs for each step of each."""
+    rng = np.random.default_rng(4)
+    middle = np.array([[0.0, 0, 0], [9, 0, 0], [0, 9, 0]]) + 1000
+    x = np.concatenate([middle[i] + rng.normal(size=(40, 3)) for i in range(3)])
+    df = clusters.with_vector(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("k-means", "k-means")
+    try:
+        model = clusters.kmeans_best(df, k=3, restarts=8)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs.getJobIdsForGroup("k-means")) < 40
+    got = sorted(tuple(c) for c in model.clusterCenters())
+    assert np.allclose(got, sorted(tuple(x[40 * i : 40 * i + 40].mean(axis=0)) for i in range(3)))
+    own = {r["vec_id"]: r["prediction"] for r in model.transform(df).collect()}
+    assert all(len({own[i] for i in range(40 * j, 40 * j + 40)}) == 1 for j in range(3)) and len(set(own.values())) == 3
+    centres = np.array(model.clusterCenters())
+    assert model.cost == pytest.approx(((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1).sum())
+    again = clusters.kmeans_best(df, k=3, restarts=8)
+    assert again == model
+
+
+def test_kmeans_of_odd_rows(spark):
+    def points(rows):
+        return clusters.with_vector(spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"))
+
+    copies = clusters.kmeans_best(points([[1.1, 2.3]] * 30 + [[4.0, 5.7]]), k=3, restarts=2)
+    assert np.allclose(sorted(c.tolist() for c in copies.clusterCenters()), [[1.1, 2.3], [4.0, 5.7]]) and copies.cost < 1e-20
+    one = clusters.kmeans_best(points([[0.3, 0.7]] * 5), k=2, restarts=2)
+    assert [c.tolist() for c in one.clusterCenters()] == [[pytest.approx(0.3), pytest.approx(0.7)]]
+    for rows in ([[1.0, 2.0], None], [[1.0, 2.0], [math.nan, 0.0]], [[1.0, 2.0], [math.inf, 0.0]], []):
+        with pytest.raises(Exception):
+            clusters.kmeans_best(points(rows), restarts=1)
