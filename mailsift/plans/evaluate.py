@@ -19,7 +19,7 @@ MakeClassifier = Callable[[int], Estimator | Booster]
 
 
 def default_classifier(rows: int) -> Booster:
-    """Boosted trees at their default settings, fitted on at most the rows that `Booster.sample` names."""
+    """Boosted trees at their default settings, fitted on all rows."""
     return Booster()
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -451,6 +452,25 @@ def test_booster_on_tables(spark):
     assert boost.Booster(rounds=2).fit_and_score(train.limit(0), test, ["email_id"]).count() == 100
 
 
+def test_booster_takes_all_rows(spark):
+    """A model used to be fitted on some 100,000 rows, whatever their number."""
+    df = spark.range(120_000).select((F.col("id") < 110_007).cast("int").alias("label"), array_to_vector(F.array(F.col("id") % 7 + 1.0)).alias("features"))
+    trees = boost.Booster(rounds=1, depth=1).fit(df)
+    assert trees.base[0] == pytest.approx(math.log(110_007 / 9_993), rel=1e-12)
+
+
+def test_booster_deals_features_over_tasks(spark):
+    """A model had to fit one task; the same trees come from several."""
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(300, 7)), 1) * (r.random((300, 7)) < [0.9, 0.2, 1, 0.3, 0.5, 0.05, 0])
+    rows = [(int(v[0] * v[2] + v[3] > 0), Vectors.sparse(7, {j: w for j, w in enumerate(v.tolist()) if w})) for v in x]
+    df = spark.createDataFrame(rows, ["label", "features"]).repartition(5)
+    one, many = (boost.Booster(rounds=8, depth=4, bins=20, least=0.1, task_entries=n).fit(df) for n in (10_000, 300))
+    for a, b in zip(one.arrays(), many.arrays(), strict=True):
+        assert np.array_equal(a, b)
+    assert len(np.unique(one.feature)) > 4
+
+
 def test_range_totals_are_those_of_term_counts(spark):
     """Every length used to be counted, as texts, once for each range that holds it."""
     rows = [(1, ["a", "b", "a", "b", "a"]), (2, ["b", "a"]), (3, []), (4, None), (5, ["c", "a", "b", "a", "b", "é"])]
