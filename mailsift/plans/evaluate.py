@@ -59,17 +59,21 @@ def prepared(train: DataFrame, held_out: DataFrame, feature_sets: Sequence[str],
 
 def _scores(train, held_out, feature_sets, max_features, make, marks: dict) -> list[DataFrame]:
     train, held_out = prepared(train, held_out, feature_sets, max_features)
+    # the blocks of all feature sets are computed once, without the texts' words
+    train = train.drop("tokens").persist()
     rows = train.count()
 
     def scored(feature_set: str) -> DataFrame:
-        fit_on = assemble.fuse(train, feature_set).select("label", "features").persist()
+        fit_on = assemble.fuse(train, feature_set).select("label", "features")
         test = assemble.fuse(held_out, feature_set)
         part = models.fit_and_score(make(rows), fit_on, test, ["email_id", "label"])
-        fit_on.unpersist()
         return part.withColumns({"feature_set": F.lit(feature_set), **{k: F.lit(v) for k, v in marks.items()}})
 
     # a model is fitted in one task, so those of all feature sets share the cluster
-    return side_by_side(train.sparkSession, [partial(scored, feature_set) for feature_set in feature_sets])
+    try:
+        return side_by_side(train.sparkSession, [partial(scored, feature_set) for feature_set in feature_sets])
+    finally:
+        train.unpersist()
 
 
 def out_of_fold(
@@ -87,7 +91,7 @@ def out_of_fold(
     def run(train, held_out, fold):
         return _scores(train, held_out, feature_sets, max_features, make_classifier, {"fold": fold})
 
-    return reduce(DataFrame.unionByName, chain.from_iterable(folds.each_fold(folded, k, run)))
+    return reduce(DataFrame.unionByName, chain.from_iterable(folds.each_fold(folded, k, run, width=k)))
 
 
 def held_out(
