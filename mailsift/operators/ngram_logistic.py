@@ -26,7 +26,8 @@ from . import grams
 BLOCK = 200_000
 #: Rows whose sums travel together.
 SPAN = 1 << 14
-BLOCKS = "at array<int>, n array<double>, size array<int>, square array<double>, one_at array<int>, one array<double>"
+#: What a block holds, as bytes, which pass between the JVM and Python as they are.
+BLOCKS = {"at": np.int32, "n": np.int32, "size": np.int32, "square": np.float64, "one_at": np.int32, "one": np.float64}
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -54,9 +55,9 @@ def blocks(rows: DataFrame, words: str, length: int, k: int, train_rows: list[in
         inside = np.bincount(term * k + fold[~single], minlength=several.sum() * k).reshape(-1, k)
         seen = per[several][:, None] - inside  # rows of the n-gram that the model of each fold is fitted on
         idf = np.where(seen > 0, np.log((1 + size) / (1 + seen)) + 1, 0.0)
-        columns = [row[~single].astype(np.int32), n[~single].astype(float), per[several].astype(np.int32), (idf * idf).ravel(), one_at.astype(np.int32), one]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in columns]
-        return pa.RecordBatch.from_arrays(lists, ["at", "n", "size", "square", "one_at", "one"])
+        columns = [row[~single], n[~single], per[several], (idf * idf).ravel(), one_at, one]
+        binaries = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(columns, BLOCKS.values(), strict=True)]
+        return pa.RecordBatch.from_arrays(binaries, list(BLOCKS))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -83,25 +84,25 @@ def blocks(rows: DataFrame, words: str, length: int, k: int, train_rows: list[in
     given = rows.select(words, (F.col("row") * k + F.col("fold")).alias("cell"))
     counts = grams.counted(given, words, (length, length), "cell").withColumnRenamed("row", "cell")
     ordered = counts.repartition("a").sortWithinPartitions("a", "b", "cell").select("a", "b", "cell", "n")
-    return write_and_read(ordered.mapInArrow(gather, BLOCKS), "postings")
+    return write_and_read(ordered.mapInArrow(gather, ", ".join(f"{c} binary" for c in BLOCKS)), "postings")
 
 
 def record_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(batch.num_columns)]
+            yield [np.frombuffer(batch.column(c)[i].as_buffer(), BLOCKS[c]) for c in batch.schema.names]
 
 
 def per_row(postings: DataFrame, columns: list[str], n: int, width: int, work) -> np.ndarray:
-    """The sum over all tasks of what `work` adds to a matrix with `n` rows."""
+    """The sum over all tasks of what `work` adds to a matrix, of which it gets the transpose, with `n` rows."""
     span = max(1, SPAN // width)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((n, width))
+        out = np.zeros((width, n))
         for arrays in record_arrays(batches):
             work(out, *arrays)
         for first in range(0, n, span):
-            part = out[first : first + span].ravel()
+            part = out[:, first : first + span].T.ravel()
             lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))
             yield pa.RecordBatch.from_arrays([pa.array([first // span], pa.int64()), lists], ["span", "total"])
 
@@ -118,7 +119,8 @@ def per_row(postings: DataFrame, columns: list[str], n: int, width: int, work) -
     kind = "span long, total array<double>"
     spans = -(-n // span)
     cores = postings.sparkSession.sparkContext.defaultParallelism
-    summed = postings.select(*columns).mapInArrow(add, kind).repartition(min(cores, spans), "span").mapInArrow(meet, kind)
+    # each task sends a matrix, so there are no more than can run at a time
+    summed = postings.select(*columns).coalesce(cores).mapInArrow(add, kind).repartition(min(cores, spans), "span").mapInArrow(meet, kind)
     out = np.zeros((n, width))
     table = summed.toArrow()
     for at, part in zip(table["span"].to_pylist(), table["total"], strict=True):
@@ -138,17 +140,16 @@ class Products:
         """`v` is rows by folds by vectors."""
         n, k, m = v.shape
         spark = self.postings.sparkSession
-        sent = spark.sparkContext.broadcast((v * self.scale[:, :, None]).reshape(n, k * m))
+        sent = spark.sparkContext.broadcast(np.ascontiguousarray((v * self.scale[:, :, None]).reshape(n, k * m).T))
 
         def work(out, at, count, size, square) -> None:
             if not len(size):
                 return
+            at, count, square = at.astype(np.int64), count.astype(float), square.reshape(-1, k)
             firsts = np.cumsum(size) - size
-            sums = np.add.reduceat(sent.value[at] * count[:, None], firsts, axis=0)
-            sums = (sums.reshape(-1, k, m) * square.reshape(-1, k)[:, :, None]).reshape(-1, k * m)
-            back = np.repeat(sums, size, axis=0) * count[:, None]
-            for j in range(k * m):
-                out[:, j] += np.bincount(at, back[:, j], minlength=n)
+            for j, column in enumerate(sent.value):
+                sums = np.add.reduceat(column.take(at) * count, firsts) * square[:, j // m]
+                out[j] += np.bincount(at, np.repeat(sums, size) * count, minlength=n)
 
         try:
             total = per_row(self.postings, ["at", "n", "size", "square"], n, k * m, work)
@@ -163,10 +164,10 @@ def products(parts: list[DataFrame], in_train: np.ndarray) -> Products:
     n, k = in_train.shape
 
     def lengths(out, at, count, size, square, one_at, one) -> None:
-        weight = np.repeat(square.reshape(-1, k), size, axis=0) * (count * count)[:, None]
+        squared, square = count.astype(float) ** 2, square.reshape(-1, k)
         for j in range(k):
-            out[:, j] += np.bincount(at, weight[:, j], minlength=n)
-        out[:, k] += np.bincount(one_at, one, minlength=n)
+            out[j] += np.bincount(at, np.repeat(square[:, j], size) * squared, minlength=n)
+        out[k] += np.bincount(one_at, one, minlength=n)
 
     found = per_row(postings, ["at", "n", "size", "square", "one_at", "one"], n, k + 1, lengths)
     # an n-gram of one row is known to the folds that train on the row
@@ -177,29 +178,38 @@ def products(parts: list[DataFrame], in_train: np.ndarray) -> Products:
     return Products(postings, scale, alone * scale * scale)
 
 
-def solved(times, root: np.ndarray, right: np.ndarray, start: np.ndarray, tolerance: float) -> np.ndarray:
-    """x with x + root K root x = right, for all folds and vectors at once, by conjugate gradients."""
-    x = start.copy()
-    rest = right - x - root * times(root * x) if x.any() else right.copy()
+def solved(times, root: np.ndarray, x: np.ndarray, rest: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Conjugate gradients for all folds at once among vectors without a part along `root`: from x with the residual `rest` under
+    x + root K root x to one with a residual of length `goal` at most. Also what is added to K root x on the way."""
+    length = np.maximum((root * root).sum(axis=0), 1e-300)
+
+    def across(z: np.ndarray) -> np.ndarray:
+        return z - root * ((root * z).sum(axis=0) / length)
+
+    x, added, rest = x.copy(), np.zeros_like(x), across(rest)
     along, square = rest.copy(), (rest * rest).sum(axis=0)
-    goal = tolerance**2 * (right * right).sum(axis=0)
-    for _ in range(len(right) + 10):
-        if (square <= goal).all():
+    for _ in range(len(x) + 10):
+        if (square <= goal * goal).all():
             break
-        image = along + root * times(root * along)
+        times_along = times((root * along)[:, :, None])[:, :, 0]
+        image = across(along + root * times_along)
         bend = (along * image).sum(axis=0)
-        step = np.divide(square, bend, out=np.zeros_like(square), where=(bend > 0) & (square > goal))
+        step = np.divide(square, bend, out=np.zeros_like(square), where=(bend > 0) & (square > goal * goal))
         x += step * along
+        added += step * times_along
         rest -= step * image
         next_square = (rest * rest).sum(axis=0)
         along = rest + np.divide(next_square, square, out=np.zeros_like(square), where=square > 0) * along
         square = next_square
-    return x
+    return x, added
 
 
 def margins(times, label: np.ndarray, in_train: np.ndarray, max_iter: int = 100, tolerance: float = 1e-7) -> np.ndarray:
     """The log odds of label 1 of every row by the model of every fold: L2 logistic regression with unit inverse strength and a free
-    intercept, by Newton's method. A fold trained on one class gives infinite odds for it."""
+    intercept, by Newton's method. A fold trained on one class gives infinite odds for it.
+
+    The free intercept holds the sum of v at zero, so steps are looked for among such vectors, and each as exactly as it is worth: to
+    the gradient that is left, squared."""
     y, weigh = label[:, None].astype(float), in_train.astype(float)
     rows, ones = weigh.sum(axis=0), (weigh * y).sum(axis=0)
     mixed = (ones > 0) & (ones < rows)
@@ -207,7 +217,6 @@ def margins(times, label: np.ndarray, in_train: np.ndarray, max_iter: int = 100,
     share = np.where(mixed, ones / np.maximum(rows, 1), 0.5)
     v, shift = np.zeros(in_train.shape), np.log(share / (1 - share))
     product = np.zeros(in_train.shape)
-    x, exact = np.zeros((*in_train.shape, 2)), 1e-2
 
     def loss(product, v, shift):
         odds = product + shift
@@ -216,17 +225,18 @@ def margins(times, label: np.ndarray, in_train: np.ndarray, max_iter: int = 100,
     for _ in range(max_iter):
         odds = product + shift
         p = 1 / (1 + np.exp(-odds))
-        if np.abs(weigh * (v + p - y)).max(initial=0) <= tolerance and np.abs(v.sum(axis=0)).max(initial=0) <= tolerance:
+        off = weigh * (y - p - v)
+        worst = np.abs(off).max(axis=0, initial=0)
+        if worst.max(initial=0) <= tolerance and np.abs(v.sum(axis=0)).max(initial=0) <= tolerance:
             break
-        bend = np.maximum(p * (1 - p), 1e-12)
-        root = weigh * np.sqrt(bend)
-        right = np.stack([root * odds + weigh * (y - p) / np.sqrt(bend), root], axis=2)
-        x = solved(times, root[:, :, None], right, x, exact)
-        exact = max(exact * 1e-2, 1e-10)
-        sums = (root[:, :, None] * x).sum(axis=0)
-        new_shift = np.where(mixed, sums[:, 0] / np.where(mixed, sums[:, 1], 1), shift)
-        new_v = root * (x[:, :, 0] - new_shift * x[:, :, 1])
-        new_product = times(new_v[:, :, None])[:, :, 0]
+        bend = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+        root, rest = weigh * bend, off / bend
+        goal = np.maximum(np.minimum(worst, 0.1) * np.sqrt((rest * rest).sum(axis=0)), tolerance / 10)
+        x, added = solved(times, root, weigh * v / bend, rest, goal)
+        new_v, new_product = root * x, product + added
+        # what is left of the equations along `root` is the intercept
+        left = root * odds + weigh * (y - p) / bend - x - root * new_product
+        new_shift = np.where(mixed, (root * left).sum(axis=0) / np.maximum((root * root).sum(axis=0), 1e-300), shift)
         before, step = loss(product, v, shift), np.ones(len(shift))
         for _ in range(30):  # shorter steps where the loss would rise
             tried = [old + step * (new - old) for old, new in ((product, new_product), (v, new_v), (shift, new_shift))]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import folds, models, ngram_logistic, tfidf
-from ..session import write_and_read
+from ..session import side_by_side, write_and_read
 
 # The n-gram ranges compared.
 RANGES = [(1, 2), (2, 3), (3, 4), (4, 5)]
@@ -51,18 +53,25 @@ def _by_rows(folded: DataFrame, ranges: Sequence[tuple[int, int]], k: int, max_i
     in_train = fold[:, None] != np.arange(k)
     lengths = sorted({n for low, high in ranges for n in range(low, high + 1)})
     sizes = in_train.sum(axis=0).tolist()
-    parts = {n: ngram_logistic.blocks(rows, "tokens", n, k, sizes) for n in lengths}
-    found = []
-    for low, high in ranges:
+    block = min(max(ngram_logistic.BLOCK, 2 * len(label)), 1 << 21)  # a block's sums by row take no longer than its postings
+    spark = folded.sparkSession
+    made = side_by_side(spark, [partial(ngram_logistic.blocks, rows, "tokens", n, k, sizes, block) for n in lengths])
+    parts = dict(zip(lengths, made, strict=True))
+
+    def accuracies(low: int, high: int) -> list[tuple]:
         parts_here = [parts[n] for n in range(low, high + 1)]
         if all(part.isEmpty() for part in parts_here):
             raise ValueError("empty vocabulary: no row has a term")
         odds = ngram_logistic.margins(ngram_logistic.products(parts_here, in_train), label, in_train, max_iter)
+        found = []
         for f in range(k):
             tested = ~in_train[:, f]
             right = (odds[tested, f] >= 0) == label[tested]
             found.append((f"{low}-{high}", f, int(tested.sum()), float(right.sum()) / int(tested.sum())))
-    return found
+        return found
+
+    # each step of a fit is a small job, so those of all ranges share the cluster
+    return list(chain.from_iterable(side_by_side(spark, [partial(accuracies, *r) for r in ranges])))
 
 
 def _by_terms(folded: DataFrame, ranges: Sequence[tuple[int, int]], k: int, max_iter: int, hash_bits: int | None) -> list[tuple]:

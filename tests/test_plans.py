@@ -312,3 +312,27 @@ def test_models_of_all_feature_sets_are_fitted_side_by_side(base):
 
     scores = evaluate.held_out(evaluate.base_features(base), make_classifier=make)
     assert scores.count() == 36
+
+
+def test_logistic_steps_need_few_products():
+    """Each step used to solve for two vectors, from zero accuracy to full; a product is a job over all postings."""
+    rng = np.random.default_rng(8)
+    x = rng.random((120, 60)) * (rng.random((120, 60)) < 0.2) + 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = (x[:, 0] + 0.2 * rng.normal(size=120) > 0.15).astype(int)
+    in_train = (np.arange(120) % 3)[:, None] != np.arange(3)
+    sent = []
+
+    def times(v):
+        sent.append(v.shape[2])
+        return np.einsum("ij,jfm->ifm", x @ x.T, v)
+
+    odds = ngram_logistic.margins(times, label, in_train)
+    assert sum(sent) <= 20  # 50 before
+    for f in range(3):
+        a, w = np.column_stack([x, np.ones(120)]), np.zeros(61)
+        known, y, penalty = a[in_train[:, f]], label[in_train[:, f]], np.append(np.ones(60), 0)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-known @ w))
+            w -= np.linalg.solve(known.T @ (known * (p * (1 - p))[:, None]) + np.diag(penalty), known.T @ (p - y) + penalty * w)
+        assert np.abs(a @ w - odds[:, f]).max() < 1e-6
