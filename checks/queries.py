@@ -16,7 +16,7 @@ from mailsift.functions import missing, text
 from mailsift.operators import assemble, clusters, dedup, embed, folds, metrics, models, scale, tfidf
 from mailsift.plans import clean, evaluate, grid
 from mailsift.plans import cluster_report as embedding_plan
-from mailsift.session import shared_folder, write_and_read
+from mailsift.session import shared_folder, shuffles_removed, write_and_read
 from mailsift.sources import embeddings as embedding_files
 from mailsift.sources import emails as email_files
 
@@ -247,7 +247,9 @@ def tfidf_holdout_weights(spark, sf):
 @query
 def ngram_ranges(spark, sf):
     """Occurrences and distinct n-grams for each range of the search."""
-    return tfidf.range_totals(_stored_tokens(spark, sf), "tokens", grid.RANGES)
+    with shuffles_removed(spark):
+        df = _stored_tokens(spark, sf)
+    return tfidf.range_totals(df, "tokens", grid.RANGES)
 
 
 @query

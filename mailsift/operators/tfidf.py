@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.base import Transformer
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
@@ -35,16 +34,18 @@ def term_counts(df: DataFrame, words: str, ngram_range: tuple[int, int]) -> Data
 def range_totals(df: DataFrame, words: str, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     """(ngram_range, n_terms, n_distinct): occurrences and distinct n-grams of each range.
 
-    Words hold no blanks, so n-grams of different lengths differ. Each length is counted once for all ranges, by 128-bit hashes, of which
-    a task sends each that it meets once for some rows.
+    Words hold no blanks, so n-grams of different lengths differ. Each length is counted once for all ranges, by 128-bit hashes. Where they
+    are many, this takes two passes, so that what is on disk at a time is no more than the words themselves take.
     """
-    parts = []
-    for n in sorted({n for low, high in ranges for n in range(low, high + 1)}):
-        names = F.array(*[F.lit(f"{low}-{high}") for low, high in ranges if low <= n <= high])
-        terms = grams.counted(df, words, (n, n)).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        parts.append(terms.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).select("t", "d", F.explode(names).alias("ngram_range")))
-    totals = reduce(DataFrame.unionByName, parts).groupBy("ngram_range")
-    return totals.agg(F.sum("t").alias("n_terms"), F.sum("d").alias("n_distinct"))
+    lengths = sorted({n for low, high in ranges for n in range(low, high + 1)})
+    often = df.agg(*[F.sum(F.greatest(F.size(words) - (n - 1), F.lit(0)).cast("long")) for n in lengths]).first()
+    often = {n: t or 0 for n, t in zip(lengths, often, strict=True)}
+    each = {n: grams.distinct(df, words, n, t, 1 if t <= grams.GROUP else 2) if t else 0 for n, t in often.items()}
+    rows = []
+    for low, high in ranges:
+        inside = range(low, high + 1)
+        rows.append((f"{low}-{high}", sum(often[n] for n in inside) or None, sum(each[n] for n in inside)))
+    return df.sparkSession.createDataFrame(rows, "ngram_range string, n_terms bigint, n_distinct bigint")
 
 
 def top_terms(df: DataFrame, words: str, ngram_range: tuple[int, int], max_features: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -51,6 +52,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries made and run inside go when each ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a written table in the shared folder, so that lost executors cost no recomputation."""
     path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")

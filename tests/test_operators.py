@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from mailsift.functions.ngrams import tokens
-from mailsift.operators import assemble, boost, clusters, dedup, embed, folds, lookup, metrics, models, scale, tfidf
+from mailsift.operators import assemble, boost, clusters, dedup, embed, folds, grams, lookup, metrics, models, scale, tfidf
 
 
 def test_dedup_keeps_the_first(spark):
@@ -484,6 +485,33 @@ def test_range_totals_are_those_of_term_counts(spark):
     assert [(r["n_terms"], r["n_distinct"]) for r in empty] == [(None, 0)]
 
 
+def test_range_totals_in_passes(spark, monkeypatch):
+    """The shuffle files of all lengths used to lie on disk until the end."""
+    rng = random.Random(12)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))]) for i in range(200)] + [(200, None)]
+    df = spark.createDataFrame(rows, "email_id long, tokens array<string>").repartition(3).cache()
+    df.count()
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f and f.endswith(".data")}
+
+    before = shuffled()
+    monkeypatch.setattr(grams, "GROUP", 100)
+    found = {r[0]: (r[1], r[2]) for r in tfidf.range_totals(df, "tokens", [(1, 2), (2, 3), (4, 4), (31, 32)]).collect()}
+    for low, high in [(1, 2), (2, 3), (4, 4)]:
+        seen = Counter(tuple(t[i : i + n]) for _, t in rows if t for n in range(low, high + 1) for i in range(len(t) - n + 1))
+        assert found[f"{low}-{high}"] == (sum(seen.values()), len(seen))
+    assert found["31-32"] == (None, 0)
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    df.unpersist()
+
+
 def test_embed_text_sends_only_the_text(spark):
     df = spark.createDataFrame([(1, ["x"], "a text"), (2, None, None)], "email_id long, tokens array<string>, t string")
     out = embed.embed_text(df, "t")
