@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import io
 import math
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -36,6 +37,8 @@ KEYS = 8
 #: What a task is sent of a batch of rows, and what is kept of a feature.
 DEALT = "key int, task int, batch int, rows int, row binary, at binary, value binary"
 KEPT = "feature int, rows long, dense boolean, row binary, code binary, upper binary"
+#: Fits whose rows have numbers in the driver, at a time.
+FAR = threading.BoundedSemaphore(3)
 #: From (node of each row, gradients, curvatures, limits, least gain) to what `Features.search` returns.
 Search = Callable[..., tuple[np.ndarray, ...]]
 
@@ -90,7 +93,8 @@ class Booster:
         given = train.select(F.col("label").cast("double").alias("label"), *entries())
         parts = -(-(filled or 0) // self.task_entries)
         if parts > 1:
-            return self.fit_far(given, parts)
+            with FAR:
+                return self.fit_far(given, parts)
         # no more than `task_entries` entries meet in this task
         found = given.repartition(1).mapInArrow(grow, "trees binary").first()
         if found is None:  # no row to fit on: the optimiser left the task out

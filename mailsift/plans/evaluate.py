@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import partial, reduce
-from itertools import chain
 
 from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame
@@ -43,37 +42,65 @@ def base_features(
     return write_and_read(df, "features") if stored else df
 
 
-def prepared(train: DataFrame, held_out: DataFrame, feature_sets: Sequence[str], max_features: int = 1000):
+def prepared(
+    train: DataFrame, held_out: DataFrame, feature_sets: Sequence[str], max_features: int = 1000, held: list[DataFrame] | None = None
+):
     """Train and held-out rows with the blocks of all wanted feature sets, fitted on `train` alone.
 
-    The tf-idf fit is shared by the feature sets that use it.
+    The tf-idf fit is shared by the feature sets that use it. Given a list, the training rows are held in memory without their words
+    from when these are counted on, and what has to be let go is added to the list.
     """
+
+    def hold(df: DataFrame) -> DataFrame:
+        if held is None:
+            return df
+        held.append(df.drop("tokens").persist())
+        return held[-1]
+
     if set(feature_sets) & {"pure_tfidf", "fused"}:
-        fitted = tfidf.fit_tfidf(train, "tokens", (1, 3), max_features)
-        train, held_out = fitted.transform(train), fitted.transform(held_out)
+        counter = tfidf.limited_counter(train, "tokens", (1, 3), max_features)
+        counted = hold(counter.transform(train, "tokens", "__tf"))
+        weighting = tfidf.fit_weighting(counted, "__tf")
+        train = weighting.transform(counted, "__tf", "tfidf").drop("__tf")
+        held_out = tfidf.Tfidf(counter, weighting).transform(held_out)
+    else:
+        train = hold(train)
     if "fused" in feature_sets:
         scaling = scale.fit_scaling(train, assemble.TABULAR)
         train, held_out = scaling.transform(train), scaling.transform(held_out)
     return train, held_out
 
 
-def _scores(train, held_out, feature_sets, max_features, make, marks: dict) -> list[DataFrame]:
-    train, held_out = prepared(train, held_out, feature_sets, max_features)
-    # the blocks of all feature sets are computed once, without the texts' words
-    train = train.drop("tokens").persist()
-    rows = train.count()
+def _scores(parts: Sequence[tuple[DataFrame, DataFrame, dict]], feature_sets, max_features, make) -> DataFrame:
+    """The scores of each part's held-out rows (part: training rows, held-out rows, columns to add) for each feature set."""
+    spark, held = parts[0][0].sparkSession, []
+
+    def ready(train: DataFrame, held_out: DataFrame, marks: dict) -> tuple:
+        train, held_out = prepared(train, held_out, feature_sets, max_features, held)
+        return train, held_out, train.count(), marks
 
-    def scored(feature_set: str) -> DataFrame:
+    def scored(feature_set: str, train: DataFrame, held_out: DataFrame, rows: int, marks: dict) -> DataFrame:
         fit_on = assemble.fuse(train, feature_set).select("label", "features")
         test = assemble.fuse(held_out, feature_set)
         part = models.fit_and_score(make(rows), fit_on, test, ["email_id", "label"])
         return part.withColumns({"feature_set": F.lit(feature_set), **{k: F.lit(v) for k, v in marks.items()}})
 
-    # a model is fitted in one task, so those of all feature sets share the cluster
+    def size(feature_set: str) -> tuple[bool, int]:
+        blocks = assemble.block_columns(feature_set)
+        return "tfidf" in blocks, len(blocks)
+
     try:
-        return side_by_side(train.sparkSession, [partial(scored, feature_set) for feature_set in feature_sets])
+        ready_parts = side_by_side(spark, [partial(ready, *part) for part in parts], len(parts))
+        # a model is fitted in one task, so those of all parts and feature sets share the cluster, the longest fits first
+        jobs = [partial(scored, f, *part) for f in sorted(feature_sets, key=size, reverse=True) for part in ready_parts]
+        return reduce(DataFrame.unionByName, side_by_side(spark, jobs, len(jobs)))
     finally:
-        train.unpersist()
+        for df in held:
+            df.unpersist()
+
+
+def _fold_parts(folded: DataFrame, k: int, marks: Callable[[int], dict]) -> list[tuple[DataFrame, DataFrame, dict]]:
+    return [(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), marks(f)) for f in range(k)]
 
 
 def out_of_fold(
@@ -87,11 +114,7 @@ def out_of_fold(
     """(email_id, label, prob, feature_set, fold): every row scored once per feature set, by the model of the
     folds it is not in."""
     folded = folds.stratified_folds(base, k, seed=seed)
-
-    def run(train, held_out, fold):
-        return _scores(train, held_out, feature_sets, max_features, make_classifier, {"fold": fold})
-
-    return reduce(DataFrame.unionByName, chain.from_iterable(folds.each_fold(folded, k, run, width=k)))
+    return _scores(_fold_parts(folded, k, lambda f: {"fold": f}), feature_sets, max_features, make_classifier)
 
 
 def held_out(
@@ -105,7 +128,7 @@ def held_out(
     """(email_id, label, prob, feature_set) of the test rows, scored by models of all training rows."""
     split = folds.stratified_split(base, test_share=test_share, seed=seed)
     train, test = split.where("NOT is_test"), split.where("is_test")
-    return reduce(DataFrame.unionByName, _scores(train, test, feature_sets, max_features, make_classifier, {}))
+    return _scores([(train, test, {})], feature_sets, max_features, make_classifier)
 
 
 def train_test_evaluation(
@@ -121,11 +144,7 @@ def train_test_evaluation(
     held-out part."""
     split = folds.stratified_split(base, test_share=test_share, seed=seed)
     train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
-    cv = out_of_fold(train, feature_sets, k, seed, max_features, make_classifier)
-    final = reduce(DataFrame.unionByName, _scores(train, test, feature_sets, max_features, make_classifier, {}))
-    columns = ["email_id", "label", "prob", "feature_set"]
-    scored = (
-        cv.select(*columns, F.lit("cross_validation").alias("eval_set"))
-        .unionByName(final.select(*columns, F.lit("held_out").alias("eval_set")))
-    )
+    folded = folds.stratified_folds(train, k, seed=seed)
+    parts = [*_fold_parts(folded, k, lambda _: {"eval_set": "cross_validation"}), (train, test, {"eval_set": "held_out"})]
+    scored = _scores(parts, feature_sets, max_features, make_classifier)
     return metrics.evaluation(write_and_read(scored, "scores"), ["feature_set", "eval_set"])
