@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ngrams import ngrams, tokens
 from ..functions.stopwords import ENGLISH
+from ..session import shuffles_removed
 from . import grams
 
 
@@ -38,7 +39,8 @@ def range_totals(df: DataFrame, words: str, ranges: Sequence[tuple[int, int]]) -
     are many, this takes two passes, so that what is on disk at a time is no more than the words themselves take.
     """
     lengths = sorted({n for low, high in ranges for n in range(low, high + 1)})
-    often = df.agg(*[F.sum(F.greatest(F.size(words) - (n - 1), F.lit(0)).cast("long")) for n in lengths]).first()
+    with shuffles_removed(df.sparkSession):
+        often = df.agg(*[F.sum(F.greatest(F.size(words) - (n - 1), F.lit(0)).cast("long")) for n in lengths]).first()
     often = {n: t or 0 for n, t in zip(lengths, often, strict=True)}
     each = {n: grams.distinct(df, words, n, t, 1 if t <= grams.GROUP else 2) if t else 0 for n, t in often.items()}
     rows = []
