@@ -90,10 +90,11 @@ def _scores(parts: Sequence[tuple[DataFrame, DataFrame, dict]], feature_sets, ma
         return "tfidf" in blocks, len(blocks)
 
     try:
-        ready_parts = side_by_side(spark, [partial(ready, *part) for part in parts], len(parts))
+        ready_parts = side_by_side(spark, [partial(ready, *part) for part in parts], 3)
         # a model is fitted in one task, so those of all parts and feature sets share the cluster, the longest fits first
         jobs = [partial(scored, f, *part) for f in sorted(feature_sets, key=size, reverse=True) for part in ready_parts]
-        return reduce(DataFrame.unionByName, side_by_side(spark, jobs, len(jobs)))
+        # no more at a time than can run, as their plans are in the driver
+        return reduce(DataFrame.unionByName, side_by_side(spark, jobs, min(len(jobs), max(3, spark.sparkContext.defaultParallelism))))
     finally:
         for df in held:
             df.unpersist()
